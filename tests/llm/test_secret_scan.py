@@ -1,0 +1,61 @@
+import base64
+import hashlib
+import json
+import re
+
+from sluice.llm import secret_scan as S
+
+
+def der(tag, body):
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else b"\x82" + n.to_bytes(2, "big")) + body
+
+
+def b64url(x):
+    return base64.urlsafe_b64encode(x).rstrip(b"=").decode()
+
+
+RSA = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([1 + i]) * 40) for i in range(8)))
+PK8 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"*\x86H\x86\xf7\r\x01\x01\x01") + der(5, b"")) + der(4, RSA))
+EC = der(0x30, der(2, b"\1") + der(4, b"k" * 48))
+SSH = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"x" * 40
+JWT = ".".join((b64url(json.dumps({"alg": "HS256", "typ": "JWT"}).encode()), b64url(json.dumps({"sub": "1"}).encode()), b64url(b"s" * 32)))
+
+
+def brute_base(text):
+    out = []
+    for kind, pattern in (("assign", r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+")):
+        for m in re.finditer(pattern, text or ""):
+            if len(m[2]) >= 6 if kind == "assign" else m.end() - m.start() >= (20 if kind == "access" else 24):
+                out.append((m.start(), ("assign", "access", "hex").index(kind), kind, m.end()))
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(out))
+
+
+TEXTS = [
+    None, "", "é token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" x", "API_KEY: 'abc123' apikey=ab PASSWORD=hunter2x", "toKen=abcdef Key toſken secret==a", "token=secret=abcdefgh",
+    "AKIA" + "A" * 16 + " AKIAAB AKIAAKIA" + "B" * 16, "a" * 23 + " " + "a" * 24 + "g", f"see {JWT} end", f"bad {JWT[:10]}x.{JWT}", base64.b64encode(RSA).decode(), PK8.hex(), base64.b64encode(EC).decode(), base64.b64encode(SSH).decode(),
+    base64.b64encode(b"\x30\x82\x01\x00" + b"z" * 90).decode(), "-----BEGIN RSA PRIVATE KEY-----\n" + base64.encodebytes(RSA).decode() + "-----END RSA PRIVATE KEY-----", "x" * 100000 + " secret: abcdef",
+]
+
+
+def test_base_spans_match_a_plain_regex(spark):
+    rows = [(i, t, "clash") for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], "again"), (None, TEXTS[2], "")]
+    got = S.report(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()
+    assert len(got) == len(rows)
+    by_id = {r.doc_id: r for r in got}
+    for i, t in enumerate(TEXTS):
+        want = brute_base(t)
+        assert by_id[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest(), (i, by_id[i].spans, want)
+        assert set(want.split(",")) - {""} <= set(by_id[i].spans.split(","))
+    assert S.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_only_confirmed_structures_are_added():
+    kinds = [[k for k, _, _ in S.spans_of(t) if k not in S.BASE] for t in TEXTS]
+    assert kinds == [[]] * 8 + [["token"], ["token"], ["key"], ["key"], ["key"], ["key"], [], ["pem"], []]
+    assert not S.is_der_key(RSA[:-1]) and not S.is_der_key(RSA + b"\0") and not S.is_signed_token("eyJhIjoxfQ.eyJhIjoxfQ.x")
+
+
+def test_redaction_replaces_spans_and_keeps_columns(spark):
+    df = spark.createDataFrame([(1, TEXTS[2], "k"), (2, None, None), (3, "clean", "")], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.text for r in S.redact(df).collect()} == {1: 'é [SECRET]" x', 2: None, 3: "clean"} and S.redact(df).columns == df.columns
