@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import contamination, gif, language, main_text, quality, secret_scan
+from sluice.llm import contamination, gif, language, main_text, quality, secret_scan, token_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
 def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.report(table(spark, sf_dir, "documents"))
 
@@ -27,6 +33,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.report(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
