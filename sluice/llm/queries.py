@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import contamination, gif, language, main_text, quality, secret_scan, token_file
+from sluice.llm import contamination, gif, language, main_text, near_dup, quality, secret_scan, token_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op4_minmax_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.report(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
