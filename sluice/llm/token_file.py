@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm.store import fresh_path
 
-BLOCK, PERCENTILE, SEGMENT, CACHED = 512, 92, 1 << 19, 300_000
+BLOCK, PERCENTILE, SEGMENT, CACHED = 512, 92, 1 << 19, 400_000
 HEAD = struct.Struct("<4sIQI")
 MAGIC = b"PFR1"
 
@@ -125,7 +125,11 @@ class WordEncoder:
     """The tokenizer's ids of whole texts, by way of a bounded cache of the ids of pieces between spaces and line feeds.
 
     The tokenizer's pattern never joins across white space and its normaliser never composes across it, so the ids of a
-    text are those of its pieces in order."""
+    text are those of its pieces in order. New pieces are encoded many at a time with a mark between them, and the ids
+    cut at the mark's. The cache has two generations: when the younger is full it becomes the older, so pieces in use
+    stay."""
+
+    MARK = "\x01"
 
     def __init__(self, tokenizer_json: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -133,18 +137,35 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def add(self, pieces: list[str]) -> None:
+        fresh, promote = [], self.old.pop
+        for p in pieces:
+            ids = promote(p, None)
+            if ids is not None:
+                self.young[p] = ids
+            elif self.MARK in p:
+                self.young[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                fresh.append(p)
+        for at in range(0, len(fresh), 400):
+            part = fresh[at : at + 400]
+            ids = np.array(self.tokenizer.encode(f" {self.MARK} ".join(part), add_special_tokens=False).ids, "<u4")
+            cut = (np.flatnonzero(ids == self.mark) * 4).tolist()
+            raw = ids.tobytes()
+            for p, a, b in zip(part, [-4, *cut], [*cut, len(raw)], strict=True):
+                self.young[p] = raw[a + 4 : b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian u32."""
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({p for own in pieces for p in own if p not in self.known})
-        if len(self.known) + len(new) > CACHED:
-            self.known.clear()
-            new = list({p for own in pieces for p in own})
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(found.ids, "<u4").tobytes()
-        get = self.known.__getitem__
+        if len(self.young) > CACHED:
+            self.young, self.old = {}, self.young
+        self.add(list({p for own in pieces for p in own if p not in self.young}))
+        get = self.young.__getitem__
         return [b"".join(map(get, own)) for own in pieces]
 
 
@@ -201,7 +222,8 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_json: str, end_id: in
 
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of the file: doc_id, start (of its first id in the whole file), n_tokens and ids (binary, u32)."""
+    """Per document of the file: doc_id, start (of its first id in the whole file), n_tokens and ids (binary, u32). The
+    shards' offsets are broadcast: a row for each task that wrote, however long the file."""
     table = spark.read.schema("shard long, segment long, before long, n_ids long, data binary").parquet(path)
     sums = table.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     offsets = sums.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("offset"))
@@ -218,7 +240,7 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["shard", "doc_id", "at", "n_tokens", "ids"])
 
     found = table.select("shard", "before", "data").mapInArrow(documents, "shard long, doc_id long, at long, n_tokens long, ids binary")
-    return found.join(offsets, "shard").select("doc_id", (F.col("at") + F.col("offset")).alias("start"), "n_tokens", "ids")
+    return found.join(F.broadcast(offsets), "shard").select("doc_id", (F.col("at") + F.col("offset")).alias("start"), "n_tokens", "ids")
 
 
 def report(docs: DataFrame, tokenizer_json: str, end_id: int = 2) -> DataFrame:
