@@ -130,6 +130,8 @@ class WordEncoder:
     stay."""
 
     MARK = "\x01"
+    #: ASCII signs that are neither letters, digits nor apostrophes; letters below this one lower to a single letter.
+    SIGNS, SIMPLE = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", "\u0130"
 
     def __init__(self, tokenizer_json: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -140,24 +142,42 @@ class WordEncoder:
         (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+
+    def ids_of(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts without MARK, from one call of the tokenizer."""
+        ids = np.array(self.tokenizer.encode(f" {self.MARK} ".join(parts), add_special_tokens=False).ids, "<u4")
+        cut = (np.flatnonzero(ids == self.mark) * 4).tolist()
+        raw = ids.tobytes()
+        return [raw[a + 4 : b] for a, b in zip([-4, *cut], [*cut, len(raw)], strict=True)]
 
     def add(self, pieces: list[str]) -> None:
-        fresh, promote = [], self.old.pop
+        """Make pieces known. A piece of Latin letters and a tail of signs is two tokens' worth to the pattern, and the
+        normaliser lowers the letters, so its ids are those of the lowered letters and those of the tail."""
+        young, promote, stems = self.young, self.old.pop, self.stems
+        split, fresh = [], set()
         for p in pieces:
             ids = promote(p, None)
             if ids is not None:
-                self.young[p] = ids
+                young[p] = ids
+                continue
+            stem = p.rstrip(self.SIGNS)
+            if stem.isalpha() and max(stem) < self.SIMPLE:
+                tail, stem = p[len(stem) :], stem.lower()
             elif self.MARK in p:
-                self.young[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+                young[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+                continue
             else:
-                fresh.append(p)
-        for at in range(0, len(fresh), 400):
-            part = fresh[at : at + 400]
-            ids = np.array(self.tokenizer.encode(f" {self.MARK} ".join(part), add_special_tokens=False).ids, "<u4")
-            cut = (np.flatnonzero(ids == self.mark) * 4).tolist()
-            raw = ids.tobytes()
-            for p, a, b in zip(part, [-4, *cut], [*cut, len(raw)], strict=True):
-                self.young[p] = raw[a + 4 : b]
+                tail, stem = "", p
+            split.append((p, stem, tail))
+            fresh.update(x for x in (stem, tail) if x not in stems)
+        new = list(fresh)
+        for at in range(0, len(new), 400):
+            stems.update(zip(new[at : at + 400], self.ids_of(new[at : at + 400]), strict=True))
+        for p, stem, tail in split:
+            young[p] = stems[stem] + stems[tail] if tail else stems[stem]
+        if len(stems) > CACHED:
+            stems.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian u32."""
