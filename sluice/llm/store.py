@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,3 +25,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def released(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete intermediate tables that nothing will read again, and let Spark's cleaner drop the shuffle files of plans
+    that are no longer referenced (it acts when the driver collects garbage)."""
+    gc.collect()
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    for df in tables:
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
