@@ -19,12 +19,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def n_buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucketed(df: DataFrame, column: str) -> DataFrame:
+    """df dealt by column as a bucketed table needs it."""
+    return df.repartition(n_buckets(df.sparkSession), column)
+
+
+def written(df: DataFrame, name: str, bucketed_by: str | None = None) -> DataFrame:
     """The rows of df, written once as Parquet to the shared folder and read back from there, so that a lost executor
-    costs a re-read and not a recomputation."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    costs a re-read and not a recomputation. With bucketed_by (df dealt by bucketed() first), later joins on that
+    column don't move this table."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    if bucketed_by is None:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    buckets = n_buckets(spark)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.bucketBy(buckets, bucketed_by).option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)
 
 
 def released(spark: SparkSession, *tables: DataFrame) -> None:

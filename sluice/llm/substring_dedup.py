@@ -1,16 +1,18 @@
 """Substring dedup: windows of ``SPAN`` words that also start in a document with a smaller doc_id are removed.
 
-Every window is anchored at the least hash among its 5-word shingles (the rightmost of equal ones), so equal windows
-have equal anchors. Anchors found in one document only cannot belong to a repeated window and are dropped by a grouped
-minimum and maximum. The windows that remain are cut from their documents as segments (consecutive windows of one
-anchor); equal segments are merged with their least doc_id before they are dealt, by anchor, to shards. Each shard
-builds an FM-index of its segments (wavelet-matrix ranks over word numbers), streams the segments through backward
-search, and reports for every window whose matching length reaches SPAN the least document of its row range. Those
-reports return to the documents by a join on segments.
+Documents of one word sequence form a class. Of a class of SPAN words or more, all documents but the ones of least
+doc_id lose every word, and only one text stands for the rest. Every window of a standing text is anchored at the least
+hash among its 5-word shingles (the rightmost of equal ones), so equal windows have equal anchors. Anchors found in one
+text only cannot belong to a repeated window and are dropped by a grouped count. The windows that remain are cut out as
+segments (consecutive windows of one anchor); equal segments are merged with their least doc_id before they are dealt,
+by anchor, to shards. Each shard builds an FM-index of its segments (wavelet-matrix ranks over word numbers), streams
+the segments through backward search, and reports for every window whose matching length reaches SPAN the least
+document of its row range. Those reports return to the documents by a join on segments.
 
 All occurrences of a window meet in one shard, so the result is exact; a shard holds about ``SHARD`` words, however many
-there are. An anchor in more than ``HOT`` documents has its windows dealt one by one by their own hash, so that no anchor
-outgrows a shard. Windows are judged on the input, not on what is left.
+there are. An anchor in more than ``HOT`` texts has its windows dealt one by one by their own hash, so that no anchor
+outgrows a shard. Windows are judged on the input, not on what is left. The standing texts are written once, bucketed by
+doc_id, so that the later joins on doc_id move no text.
 
 Null texts have no words; a null doc_id neither removes nor loses words; rows of one doc_id don't remove each other's
 words; an empty table gives an empty result; further columns are ignored.
@@ -18,6 +20,7 @@ words; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm.fm_index import FmIndex, matching
 from sluice.llm.grid import NOT_SPACE, Grid, grids
-from sluice.llm.store import released, written
+from sluice.llm.store import bucketed, released, written
 
 SPAN, SHINGLE, SHARD, HOT = 13, 5, 1_500_000, 20_000
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -54,6 +57,18 @@ def slim(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("version"))
 
 
+def facts(docs: DataFrame) -> DataFrame:
+    """Per row of slim(): doc_id, version, n_words and digest (of its words, joined by a space)."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [t.split() for t in batch.column("text").to_pylist()]
+            digests = [hashlib.sha256(b" ".join(w)).digest() for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array([len(w) for w in words], pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "version", "n_words", "digest"])
+
+    return docs.select("doc_id", "version", "text").mapInArrow(counted, "doc_id long, version long, n_words long, digest binary")
+
+
 def anchor_rows(docs: DataFrame) -> DataFrame:
     """Distinct (anchor, doc_id)."""
 
@@ -70,7 +85,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                 new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])])
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[new]), pa.array(np.array(keys, np.int64)[doc[new]])], names=["anchor", "doc_id"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(rows, "anchor long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(rows, "anchor long, doc_id long")
 
 
 def segments(docs: DataFrame, shared: DataFrame) -> DataFrame:
@@ -122,19 +137,20 @@ def segments(docs: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def searched(pieces: DataFrame, shards: int) -> DataFrame:
-    """(key, least): for each window of each distinct segment (key, cell, segment, owner), the least document in which
-    it starts."""
+    """(cell, key, least): for each window of each distinct segment (cell, segment, owner), the least document in which
+    it starts; key is the segment's hash."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[bytes] = []
+        keys: list[np.ndarray] = []
         texts: list[bytes] = []
         owners: list[np.ndarray] = []
         for batch in batches:
-            keys += batch.column("key").to_pylist()
+            keys.append(np.stack([batch.column(c).to_numpy() for c in ("cell", "key")]))
             texts += batch.column("segment").to_pylist()
             owners.append(batch.column("owner").to_numpy())
-        if not keys:
+        if not texts:
             return
+        cell, key = np.concatenate(keys, axis=1)
         owner = np.concatenate(owners)
         words: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
@@ -156,62 +172,81 @@ def searched(pieces: DataFrame, shards: int) -> DataFrame:
             found = np.flatnonzero(row >= 0)
             least[at + found] = index.least[row[found]]
         edges = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-        for at in range(0, len(keys), 20_000):
-            stop = min(at + 20_000, len(keys))
-            values = pa.array(least[edges[at] : edges[stop]])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at:stop], pa.binary()), pa.ListArray.from_arrays(pa.array(edges[at : stop + 1] - edges[at]), values)], names=["key", "least"])
+        for at in range(0, len(texts), 20_000):
+            stop = min(at + 20_000, len(texts))
+            values = pa.ListArray.from_arrays(pa.array(edges[at : stop + 1] - edges[at]), pa.array(least[edges[at] : edges[stop]]))
+            yield pa.RecordBatch.from_arrays([pa.array(cell[at:stop]), pa.array(key[at:stop]), values], names=["cell", "key", "least"])
 
-    return pieces.repartition(shards, "cell").select("key", "segment", "owner").mapInArrow(search, "key binary, least array<long>")
+    keyed = pieces.select("cell", F.xxhash64("segment").alias("key"), "segment", "owner")
+    return keyed.repartition(shards, "cell").mapInArrow(search, "cell long, key long, least array<long>")
 
 
-def kept(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, text (what is left, words joined by a space) of every row; hits: (doc_id, version,
-    starts) with the first words of the windows to remove."""
+def without(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """doc_id, version, n_removed and text (what is left, words joined by a space) of the rows with hits: (doc_id,
+    version, starts), the first words of the windows to remove."""
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, gone, left = [], [], []
+            gone, left = [], []
             for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts"), strict=True):
                 words = text.split()
-                total.append(len(words))
-                if starts.is_valid:
-                    cover = np.zeros(len(words) + 1, np.int32)
-                    at = np.unique(starts.values.to_numpy())
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + SPAN, -1)
-                    keep = np.cumsum(cover)[:-1] == 0
-                    gone.append(int(len(words) - keep.sum()))
-                    words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-                else:
-                    gone.append(0)
-                left.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.binary())], names=["doc_id", "n_words", "n_removed", "text"])
-
-    both = docs.join(hits, ["doc_id", "version"], "left")
-    return both.select("doc_id", "text", "starts").mapInArrow(removed, "doc_id long, n_words long, n_removed long, text binary")
+                cover = np.zeros(len(words) + 1, np.int32)
+                at = np.unique(starts.values.to_numpy())
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + SPAN, -1)
+                keep = np.cumsum(cover)[:-1] == 0
+                gone.append(int(len(words) - keep.sum()))
+                left.append(b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(gone, pa.int64()), pa.array(left, pa.binary())], names=["doc_id", "version", "n_removed", "left"])
 
+    both = docs.join(hits, ["doc_id", "version"])
+    return both.select("doc_id", "version", "text", "starts").mapInArrow(removed, "doc_id long, version long, n_removed long, left binary")
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and text (binary) of every row of docs, without the repeated windows."""
+
+def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Facts of every row of slim(docs) with copy (whether all its words go), and without()'s rows."""
     spark = docs.sparkSession
     base = slim(docs)
-    rows = written(anchor_rows(base), "anchors")
-    seen = rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
+    about = written(facts(base), "facts")
+    long = about.where(f"doc_id IS NOT NULL AND n_words >= {SPAN}")
+    firsts = long.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    standing = written(long.groupBy("digest").agg(F.min(F.struct("doc_id", "version")).alias("s")).select("s.*"), "standing")
+    same = F.col("version").bitwiseXOR(F.col("_version")) == 0  # not a join key: doc_id alone deals the texts, as the buckets need
+    texts = written(bucketed(base, "doc_id").join(standing.withColumnRenamed("version", "_version"), "doc_id").where(same).drop("_version"), "texts", bucketed_by="doc_id")
+    released(spark)
+    rows = written(anchor_rows(texts), "anchors")
+    seen = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     found = rows.join(seen.select("anchor", (F.col("n") > HOT).alias("is_hot")), "anchor")
     shared = written(found.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.array_compact(F.collect_list(F.when(F.col("is_hot"), F.col("anchor")))).alias("hot")), "shared")
     released(spark, rows)
-    cuts = written(segments(base, shared).withColumn("key", F.unhex(F.md5("segment"))), "segments")
+    cuts = written(segments(texts, shared), "segments")
     released(spark, shared)
-    pieces = cuts.groupBy("key").agg(F.first("cell").alias("cell"), F.first("segment").alias("segment"), F.min("doc_id").alias("owner"))
+    pieces = cuts.groupBy("cell", "segment").agg(F.min("doc_id").alias("owner"))
     size = cuts.agg(F.sum(F.length("segment"))).first()[0] or 0
     least = written(searched(pieces, max(1, -(-int(size) // (6 * SHARD)))), "least")
+    released(spark)
     starts = F.transform(F.filter(F.sequence(F.lit(0), F.size("least") - 1), lambda i: F.get("least", i) < F.col("doc_id")), lambda i: i + F.col("at"))
-    reports = cuts.select("key", "doc_id", "version", "at").join(least, "key").select("doc_id", "version", starts.alias("starts")).where("size(starts) > 0")
+    reports = cuts.select("cell", F.xxhash64("segment").alias("key"), "doc_id", "version", "at").join(least, ["cell", "key"]).select("doc_id", "version", starts.alias("starts")).where("size(starts) > 0")
     hits = written(reports.groupBy("doc_id", "version").agg(F.flatten(F.collect_list("starts")).alias("starts")), "hits")
     released(spark, cuts, least)
-    return kept(base, hits)
+    copies = about.join(firsts, "digest", "left").withColumn("copy", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)))
+    return copies.select("doc_id", "version", "n_words", "digest", "copy"), without(texts, hits)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The digest of deduplicate: doc_id, n_words, n_removed, kept_sha256."""
-    return deduplicate(docs).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    """doc_id, n_words, n_removed and kept_sha256 of every row of docs."""
+    about, cut = repeats(docs)
+    cut = cut.select("doc_id", "version", "n_removed", F.sha2("left", 256).alias("kept")).distinct()  # of repeated rows
+    gone = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
+    kept = F.when(F.col("copy"), F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept", F.lower(F.hex("digest"))))
+    return about.join(cut, ["doc_id", "version"], "left").select("doc_id", "n_words", gone.alias("n_removed"), kept.alias("kept_sha256"))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """docs without the repeated windows: a text that loses words becomes its remaining words, joined by a space."""
+    about, cut = repeats(docs)
+    one = about.select("doc_id", F.col("version").alias("_v"), F.col("copy").alias("_copy")).distinct()
+    new = cut.select("doc_id", F.col("version").alias("_v"), F.col("left").cast("string").alias("_left")).dropDuplicates(["doc_id", "_v"])
+    own = [F.when(F.col("_copy"), F.lit("")).otherwise(F.coalesce("_left", "text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn("_v", F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
+    return keyed.join(one, ["doc_id", "_v"], "left").join(new, ["doc_id", "_v"], "left").select(*own)

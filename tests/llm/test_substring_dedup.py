@@ -55,6 +55,13 @@ def test_matches_brute_force(spark, monkeypatch, seed, hot):
     assert sorted((tuple(r) for r in S.report(df).collect()), key=str) == brute(docs)
 
 
+def test_texts_without_repeats(spark):
+    a, b = " ".join(f"a{i}" for i in range(14)), " ".join(f"b{i}" for i in range(5))
+    rows = [(1, f"x\n{a}", "k"), (2, f"{b} {a} tail", "k"), (3, f"x {a}", "k"), (4, None, None), (None, a, "n"), (5, " same  as before ", "k")]
+    got = S.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([(1, f"x\n{a}", "k"), (2, f"{b} tail", "k"), (3, "", "k"), (4, None, None), (None, a, "n"), (5, " same  as before ", "k")], key=str)
+
+
 def test_empty_table(spark):
     assert S.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
