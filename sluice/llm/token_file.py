@@ -20,6 +20,7 @@ text; an empty table gives an empty file; further columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 from collections.abc import Callable, Iterator
@@ -38,14 +39,28 @@ MAGIC = b"PFR1"
 
 
 def pack(low: np.ndarray, width: int) -> np.ndarray:
-    """Rows of BLOCK values as rows of BLOCK * width / 8 bytes."""
-    bits = (low[:, :, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-    return np.packbits(bits.astype(np.uint8).reshape(len(low), -1), axis=1, bitorder="little")
+    """Rows of BLOCK values as rows of BLOCK * width / 8 bytes: each 64 values fill width 64-bit words in turn."""
+    values = low.reshape(-1, 64).T.astype(np.uint64)
+    words = np.zeros((width, values.shape[1]), np.uint64)
+    for i in range(64):
+        word, shift = divmod(i * width, 64)
+        words[word] |= values[i] << np.uint64(shift)
+        if shift + width > 64:
+            words[word + 1] |= values[i] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words.T).astype("<u8").view(np.uint8).reshape(len(low), -1)
 
 
 def unpack(rows: np.ndarray, width: int) -> np.ndarray:
-    bits = np.unpackbits(rows, axis=1, bitorder="little").reshape(len(rows), BLOCK, width).astype(np.uint32)
-    return (bits << np.arange(width, dtype=np.uint32)).sum(2, dtype=np.uint32)
+    words = np.ascontiguousarray(np.ascontiguousarray(rows).view("<u8").reshape(-1, width).T)
+    values = np.empty((64, words.shape[1]), np.uint32)
+    mask = np.uint64((1 << width) - 1)
+    for i in range(64):
+        word, shift = divmod(i * width, 64)
+        v = words[word] >> np.uint64(shift)
+        if shift + width > 64:
+            v |= words[word + 1] << np.uint64(64 - shift)
+        values[i] = v & mask
+    return np.ascontiguousarray(values.T).reshape(len(rows), BLOCK)
 
 
 def bit_length(x: np.ndarray) -> np.ndarray:
@@ -60,7 +75,7 @@ def encode_segment(ids: np.ndarray, docs: list[tuple[int | None, int]]) -> bytes
     grid = grid.reshape(n_blocks, BLOCK)
     least = grid.min(1) if n_blocks else np.zeros(0, np.uint32)
     diff = grid - least[:, None]
-    width = bit_length(np.sort(diff, axis=1)[:, BLOCK * PERCENTILE // 100 - 1]) if n_blocks else np.zeros(0, np.int64)
+    width = bit_length(np.partition(diff, BLOCK * PERCENTILE // 100 - 1, axis=1)[:, BLOCK * PERCENTILE // 100 - 1]) if n_blocks else np.zeros(0, np.int64)
     high = np.where(width[:, None] < 32, diff >> np.minimum(width, 31)[:, None].astype(np.uint32), 0).astype(np.uint32)
     block, place = np.nonzero(high)
     exceptions = np.bincount(block, minlength=n_blocks)
@@ -181,12 +196,19 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian u32."""
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
+        pieces, ends = [], [0]
+        for t in texts:
+            pieces += t.replace("\n", " ").split(" ")
+            ends.append(len(pieces))
         if len(self.young) > CACHED:
             self.young, self.old = {}, self.young
-        self.add(list({p for own in pieces for p in own if p not in self.young}))
-        get = self.young.__getitem__
-        return [b"".join(map(get, own)) for own in pieces]
+        found = list(map(self.young.get, pieces))
+        if None in found:
+            missing = [i for i, ids in enumerate(found) if ids is None]
+            self.add(list({pieces[i] for i in missing}))
+            for i in missing:
+                found[i] = self.young[pieces[i]]
+        return [b"".join(found[a:b]) for a, b in itertools.pairwise(ends)]
 
 
 _encoders: dict[int, WordEncoder] = {}
