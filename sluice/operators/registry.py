@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RANK = F.struct("timestamp", "node_id", "tag")
-
 
 def winners(entries: DataFrame) -> DataFrame:
     """The last writer of each name, by (timestamp, node_id, tag); the tag settles what the two leave equal."""
