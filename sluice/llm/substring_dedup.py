@@ -62,9 +62,12 @@ def facts(docs: DataFrame) -> DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [t.split() for t in batch.column("text").to_pylist()]
-            digests = [hashlib.sha256(b" ".join(w)).digest() for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array([len(w) for w in words], pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "version", "n_words", "digest"])
+            sizes, digests = [], []
+            for text in batch.column("text"):
+                words = text.as_py().split()  # of one text at a time
+                sizes.append(len(words))
+                digests.append(hashlib.sha256(b" ".join(words)).digest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "version", "n_words", "digest"])
 
     return docs.select("doc_id", "version", "text").mapInArrow(counted, "doc_id long, version long, n_words long, digest binary")
 
