@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FREQUENT, PAIR_BUCKETS, WORD_BUCKETS = 1 << 17, 1 << 16, 1 << 16
+FREQUENT, PAIR_BUCKETS, WORD_BUCKETS = 1 << 18, 1 << 16, 1 << 17
 NONE = (1 << 31) - 1
 MUL = 40503
 
