@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm.store import fresh_path
 
-BLOCK, PERCENTILE, SEGMENT, CACHED = 512, 92, 1 << 19, 400_000
+BLOCK, PERCENTILE, SEGMENT, PIECES, STEMS = 512, 92, 1 << 19, 700_000, 400_000
 HEAD = struct.Struct("<4sIQI")
 MAGIC = b"PFR1"
 
@@ -161,7 +161,8 @@ class WordEncoder:
 
     def ids_of(self, parts: list[str]) -> list[bytes]:
         """Ids of parts without MARK, from one call of the tokenizer."""
-        ids = np.array(self.tokenizer.encode(f" {self.MARK} ".join(parts), add_special_tokens=False).ids, "<u4")
+        (found,) = self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(parts)], add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
         cut = (np.flatnonzero(ids == self.mark) * 4).tolist()
         raw = ids.tobytes()
         return [raw[a + 4 : b] for a, b in zip([-4, *cut], [*cut, len(raw)], strict=True)]
@@ -169,15 +170,15 @@ class WordEncoder:
     def add(self, pieces: list[str]) -> None:
         """Make pieces known. A piece of Latin letters and a tail of signs is two tokens' worth to the pattern, and the
         normaliser lowers the letters, so its ids are those of the lowered letters and those of the tail."""
-        young, promote, stems = self.young, self.old.pop, self.stems
+        young, promote, stems, signs, simple = self.young, self.old.pop, self.stems, self.SIGNS, self.SIMPLE
         split, fresh = [], set()
         for p in pieces:
             ids = promote(p, None)
             if ids is not None:
                 young[p] = ids
                 continue
-            stem = p.rstrip(self.SIGNS)
-            if stem.isalpha() and max(stem) < self.SIMPLE:
+            stem = p.rstrip(signs)
+            if stem.isalpha() and (stem.isascii() or max(stem) < simple):
                 tail, stem = p[len(stem) :], stem.lower()
             elif self.MARK in p:
                 young[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
@@ -185,13 +186,16 @@ class WordEncoder:
             else:
                 tail, stem = "", p
             split.append((p, stem, tail))
-            fresh.update(x for x in (stem, tail) if x not in stems)
+            if stem not in stems:
+                fresh.add(stem)
+            if tail and tail not in stems:
+                fresh.add(tail)
         new = list(fresh)
         for at in range(0, len(new), 400):
             stems.update(zip(new[at : at + 400], self.ids_of(new[at : at + 400]), strict=True))
         for p, stem, tail in split:
             young[p] = stems[stem] + stems[tail] if tail else stems[stem]
-        if len(stems) > CACHED:
+        if len(stems) > STEMS:
             stems.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -200,7 +204,7 @@ class WordEncoder:
         for t in texts:
             pieces += t.replace("\n", " ").split(" ")
             ends.append(len(pieces))
-        if len(self.young) > CACHED:
+        if len(self.young) > PIECES:
             self.young, self.old = {}, self.young
         found = list(map(self.young.get, pieces))
         if None in found:
