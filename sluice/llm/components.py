@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.store import written
+from sluice.llm.store import released, written
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = written(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct(), "edges")
     sign = None
     for _ in range(rounds):
-        now = written(small_star(large_star(now)), "edges")
+        before, now = now, written(small_star(large_star(now)), "edges")
+        released(edges.sparkSession, before)
         n, total = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if (n, total) == sign:
             return now.select(F.col("a").alias("id"), F.col("b").alias("root"))

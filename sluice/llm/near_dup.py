@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm.components import components
 from sluice.llm.grid import LOWER, NOT_SPACE, Grid, grids, mix, range_hashes
-from sluice.llm.store import written
+from sluice.llm.store import released, written
 
 SHINGLE, NUM, DEN = 5, 75, 100
 FUNCTIONS, BAND = 192, 6
@@ -211,7 +211,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     short = standing.select("id", "n", "sketch")
     sets = written(sets_of(docs, members.select("id").distinct()).dropDuplicates(["id", "shingles"]), "sets")
     links = written(confirmed(proposals(members, short), sets), "links")
-    more = written(confirmed_cells(leftovers(members, short, components(links)), sets), "links")
+    first = components(links)
+    more = written(confirmed_cells(leftovers(members, short, first), sets), "links")
+    released(docs.sparkSession, standing, members, sets, first)
     roots = components(links.unionByName(more)).select(F.col("id").alias("rep"), "root")
     placed = classes.join(roots, "rep", "left").select("class", F.coalesce("root", "rep").alias("component_id"))
     out = about.select("doc_id", F.col("n").alias("n_shingles"), "class").join(placed, "class", "left")

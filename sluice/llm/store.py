@@ -3,20 +3,11 @@
 from __future__ import annotations
 
 import gc
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests.
-DEFAULT_DIR = "/tmp/checkpoints/sluice"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_DIR).rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from sluice.sources import shared
+from sluice.sources.shared import fresh_path
 
 
 def n_buckets(spark: SparkSession) -> int:
@@ -29,17 +20,14 @@ def bucketed(df: DataFrame, column: str) -> DataFrame:
 
 
 def written(df: DataFrame, name: str, bucketed_by: str | None = None) -> DataFrame:
-    """The rows of df, written once as Parquet to the shared folder and read back from there, so that a lost executor
-    costs a re-read and not a recomputation. With bucketed_by (df dealt by bucketed() first), later joins on that
-    column don't move this table."""
+    """The rows of df, written once to the shared folder and read back. With bucketed_by (df dealt by bucketed() first),
+    later joins on that column don't move this table."""
+    if bucketed_by is None:
+        return shared.written(df, name)
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    if bucketed_by is None:
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    buckets = n_buckets(spark)
     table = path.rsplit("/", 1)[1].replace("-", "_")
-    df.write.bucketBy(buckets, bucketed_by).option("path", path).format("parquet").saveAsTable(table)
+    df.write.bucketBy(n_buckets(spark), bucketed_by).option("path", path).format("parquet").saveAsTable(table)
     return spark.table(table)
 
 
