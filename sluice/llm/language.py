@@ -3,7 +3,8 @@
 A word is a run of ASCII letters and non-ASCII characters. Its first character's Unicode script narrows the candidate
 languages to those that use the script in training; a hashed byte n-gram model (2 to 4 bytes, word ends included) scores
 the word under each candidate; Viterbi over a document's words with a penalty for each switch labels spans of mixed
-text. The document's language is the one whose spans hold most bytes, and its score their share.
+text. A document's language is the one it opens in, if the spans of that one hold at least a quarter of its bytes (a
+quoted passage may be longer than what surrounds it), else the one whose spans hold most; its score is their share.
 
 The model is fitted on at most ``per_language`` whole documents of each language, the ones of least hash among those
 that are not held out; everything else sees every row and whole texts. Prediction is a map with no shuffle: only the
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from sluice.llm.grid import LOWER, Grid, grids
 
 ORDERS, BITS = (2, 3, 4), 16
-SWITCH = 12.0
+SWITCH, OPENING = 12.0, 0.25
 LETTER = np.zeros(256, bool)
 for _a, _b in ((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)):
     LETTER[_a : _b + 1] = True
@@ -211,13 +212,14 @@ def predictions(model: Model | None, texts: list[str | None], grid: Grid, penalt
         if a == b or not any(map(str.isalpha, text)):
             yield "und", 0.0, []
             continue
-        best = int(weight[d].argmax())
+        share = weight[d] / weight[d].sum()
+        best = int(labels[a]) if share[labels[a]] >= OPENING else int(share.argmax())
         turn = a + np.concatenate([[0], np.flatnonzero(np.diff(labels[a:b].astype(np.int16))) + 1])
         stop = np.append(turn[1:], b) - 1
         base = point[grid.at[d] - 1] if d else 0
         starts, ends = point[grid.starts[turn]] - 1 - base, point[grid.ends[stop] - 1] - base
         spans = [{"start": int(s), "end": int(e), "lang": model.languages[labels[w]]} for s, e, w in zip(starts, ends, turn, strict=True)]
-        yield model.languages[best], float(weight[d, best] / weight[d].sum()), spans
+        yield model.languages[best], float(share[best]), spans
 
 
 def identify(docs: DataFrame, per_language: int = 400) -> DataFrame:

@@ -37,6 +37,14 @@ def test_spans_of_mixed_text(spark):
     assert [(text[s.start : s.end], s.lang) for s in got._spans] == [(a, "fr"), (b, "en")]
 
 
+def test_a_quoted_passage_does_not_change_the_language(spark):
+    model = L.Model([r[1].encode() for r in rows()], [r[2] for r in rows()])
+    en, fr = " ".join(EN), " ".join(FR)
+    texts = [f"{en} {fr} {fr} {fr} {en}", f"the {fr} {fr}"]
+    got = L.label_languages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r._lang for r in got] == ["en", "fr"] and got[0]._score < 0.5
+
+
 def test_viterbi_matches_every_path():
     rng = np.random.default_rng(3)
     first = np.array([0, 4, 4, 5, 11])
