@@ -45,3 +45,8 @@ def link(links: DataFrame, added: DataFrame) -> DataFrame:
 
 def unlink(links: DataFrame, removed: DataFrame) -> DataFrame:
     return links.distinct().exceptAll(removed.distinct())
+
+
+def listing(members: DataFrame, group: str, *key: str) -> DataFrame:
+    """Each group with how many distinct members it has and how many memberships."""
+    return members.groupBy(group).agg(F.count_distinct(*key).alias("processes"), F.count("*").alias("memberships"))

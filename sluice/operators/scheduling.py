@@ -44,6 +44,23 @@ def drain_stats(phases: DataFrame, key: str) -> DataFrame:
     return phases.groupBy(key).agg(F.sum("stopped").alias("stopped"), F.sum("drained").alias("drained"), F.max("ms").alias("longest_ms"), F.bool_or("timed_out").alias("timed_out"))
 
 
+def drain_phases(tasks: DataFrame, key: str, phase: str, took_ms: str, limits: dict[str, int]) -> DataFrame:
+    """Per key and phase: tasks that ended within the phase's time limit (drained), those it stopped, the phase's length
+    (ms, at most its limit) and whether it timed out. A phase without a limit in limits is not run."""
+    limit = F.coalesce(*[F.when(F.col(phase) == p, F.lit(ms).cast("long")) for p, ms in limits.items()])
+    rows = tasks.withColumn("_limit", limit).where("_limit IS NOT NULL")
+    late = F.col(took_ms) > F.col("_limit")
+    return rows.groupBy(key, phase).agg(F.count_if(~late).alias("drained"), F.count_if(late).alias("stopped"), F.max(F.least(F.col(took_ms), F.col("_limit"))).cast("long").alias("ms"), F.bool_or(late).alias("timed_out"))
+
+
+def assigned(tasks: DataFrame, workers: DataFrame, attempt: str = "attempt") -> DataFrame:
+    """tasks (seq, tries: an array of workers in order of preference) with the first live worker, or the error
+    ``no worker``; dead workers are passed over."""
+    tried = tasks.select("seq", F.posexplode_outer("tries").alias(attempt, "worker")).join(workers.where("alive").select("worker", F.lit(True).alias("_alive")), "worker", "left")
+    first = tried.groupBy("seq").agg(F.min_by("worker", F.when(F.col("_alive"), F.col(attempt))).alias("worker"), F.max("_alive").alias("_alive"))
+    return first.select("seq", F.when(F.col("_alive"), F.col("worker")).alias("worker"), F.when(F.col("_alive").isNull(), "no worker").alias("error"))
+
+
 def percentiles(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Exact p50, p95, p99 and p99.9 of value."""
     return rows.groupBy(key).agg(*[F.round(F.percentile(value, p), 3).alias(name) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99), ("p999", 0.999))], F.count("*").alias("n"))

@@ -500,3 +500,28 @@ def frame_roundtrip(spark, sf):
     data = values.frame(F.lit(1), F.lit(1), F.col("event_id"), F.col("event_type").cast("binary"), F.col("props").cast("binary"))
     back = e.select("event_id", data.alias("data")).select("event_id", values.fingerprint(F.col("data")).alias("fingerprint"), values.unframed(F.col("data")).alias("f"))
     return back.select("event_id", "fingerprint", F.col("f.kind").alias("kind"), F.col("f.request").alias("request"), F.col("f.header").cast("string").alias("header"), F.col("f.payload").cast("string").alias("payload"))
+
+
+@query("SELECT user_id % 25 AS grp, count(DISTINCT event_id % 4) AS processes, count(*) AS memberships FROM events WHERE event_type = 'view' GROUP BY 1")
+def group_listing(spark, sf):
+    return groups.listing(members(spark, sf, "view"), "grp", "pid")
+
+
+PHASE = "CASE event_type WHEN 'view' THEN 'announce' WHEN 'click' THEN 'drain' WHEN 'error' THEN 'stop' END"
+
+
+@query(f"""
+    WITH t AS (SELECT user_id, {PHASE} AS phase, CAST(round(value * 100) AS BIGINT) AS ms, CASE event_type WHEN 'view' THEN 5000 WHEN 'click' THEN 8000 WHEN 'error' THEN 3000 END AS most FROM events WHERE event_type IN ('view', 'click', 'error'))
+    SELECT user_id, phase, count(*) FILTER (ms <= most) AS drained, count(*) FILTER (ms > most) AS stopped, CAST(max(least(ms, most)) AS BIGINT) AS ms, bool_or(ms > most) AS timed_out FROM t GROUP BY user_id, phase""")
+def drain_phases(spark, sf):
+    t = read(spark, sf, "events").select("user_id", F.expr(PHASE).alias("phase"), F.round(F.col("value") * 100).cast("long").alias("took"))
+    return scheduling.drain_phases(t, "user_id", "phase", "took", {"announce": 5000, "drain": 8000, "stop": 3000})
+
+
+@query("""
+    SELECT o_orderkey AS seq, CASE WHEN o_custkey % 10 <> 3 THEN o_custkey WHEN (o_custkey + 1) % 10 <> 3 AND (o_custkey + 1) IN (SELECT c_custkey FROM customer) THEN o_custkey + 1 END AS worker,
+        CASE WHEN o_custkey % 10 = 3 AND (o_custkey + 1) NOT IN (SELECT c_custkey FROM customer) THEN 'no worker' END AS error FROM orders""")
+def task_retry(spark, sf):
+    tasks = read(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), F.array(F.col("o_custkey"), F.col("o_custkey") + 1).alias("tries"))
+    workers = read(spark, sf, "customer").select(F.col("c_custkey").alias("worker"), (F.col("c_custkey") % 10 != 3).alias("alive"))
+    return scheduling.assigned(tasks, workers)

@@ -25,10 +25,12 @@ def in_order(batches: Iterator[pd.DataFrame], order: str) -> Iterator:
 
 class Machine(StatefulProcessor):
     """A state machine: transitions (state, event) to state; postponed events wait in a list and are replayed, first come
-    first served, after the next change of state; a state's timer belongs to the state entered and ends with it."""
+    first served, after the next change of state; a state's timer belongs to the state entered and ends with it;
+    entering a state of ``internal`` appends that event to what is waiting to be handled."""
 
-    def __init__(self, transitions: Mapping[tuple[str, str], str], start: str, postponed: frozenset = frozenset(), timeouts_ms: Mapping[str, tuple[int, str]] | None = None) -> None:
-        self.transitions, self.start, self.postponed, self.timeouts = dict(transitions), start, frozenset(postponed), dict(timeouts_ms or {})
+    def __init__(self, transitions: Mapping[tuple[str, str], str], start: str, postponed: frozenset = frozenset(), timeouts_ms: Mapping[str, tuple[int, str]] | None = None, internal: Mapping[str, str] | None = None) -> None:
+        self.transitions, self.start, self.postponed = dict(transitions), start, frozenset(postponed)
+        self.timeouts, self.internal = dict(timeouts_ms or {}), dict(internal or {})
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -60,7 +62,7 @@ class Machine(StatefulProcessor):
             cell = (cell[0], cell[1], cell[2] + 1, cell[3])
             if target is not None and target != cell[0]:
                 cell = self.enter(cell, target, now_ms)
-                queue = [k for (k,) in self.waiting.get()] + queue
+                queue = [k for (k,) in self.waiting.get()] + queue + ([self.internal[target]] if target in self.internal else [])
                 self.waiting.clear()
         return cell
 

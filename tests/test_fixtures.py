@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.functions import values
+from sluice.functions import payload, values
 from sluice.operators import dispatch, groups, machines, membership, ordering, registry, routing, scheduling, supervision
 from sluice.plans import apps
 from sluice.sources import feeds
@@ -170,3 +170,15 @@ def test_frames_backoff_and_compute(spark):
     n = spark.createDataFrame([(-1,), (0,), (20,), (92,), (93,)], "n long")
     got = {r.n: (r.result, r.error) for r in apps.computed(n, "n", apps.fibonacci(spark)).collect()}
     assert got == {-1: (None, "n out of range"), 0: (0, None), 20: (6765, None), 92: (7540113804746346429, None), 93: (None, "n out of range")}
+
+
+def test_message_pack_payloads(spark):
+    cases = {
+        b"\xc0": "null", b"\xa5hello": '"hello"', b"\x81\xa3key\x2a": '{"key": 42}', b"\xc4\x04\xde\xad\xbe\xef": '"deadbeef"', b"\x92\x01\x91\x02": "[1, [2]]", b"\xff": "-1", b"\xd1\xff\x00": "-256",
+        b"\xcf" + b"\xff" * 8: "18446744073709551615", b"\xcb" + bytes.fromhex("3ff8000000000000"): "1.5", b"\x82\x01\xc3\xa1a\xc2": '{"1": true, "a": false}', b"\xd4\x05\x0a": '{"type": 5, "data": "0a"}',
+        b"\xd9\x01x": '"x"', b"\xdc\x00\x01\x07": "[7]", b"\xa5hel": None, b"\xc1": None, b"\x01\x01": None, b"": None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "d binary").select("d", payload.message_json(F.col("d")).alias("j"))
+    got = {None if r.d is None else bytes(r.d): r.j for r in df.collect()}
+    assert got == cases | {None: None}
+    assert df.where("d = x'81a36b65792a'").select(F.try_variant_get(F.parse_json("j"), "$.key", "bigint").alias("n")).first().n == 42

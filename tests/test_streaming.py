@@ -69,8 +69,8 @@ def test_postponed_events_and_state_timers(spark, tmp_path):
         (tmp_path / "in").mkdir(exist_ok=True)
         shutil.copy(next((tmp_path / f"w{i}").glob("*.parquet")), tmp_path / "in" / f"{i}.parquet")
     live = feeds.stream_table(spark, f"{tmp_path}/in", schema).withWatermark("ts", "0 seconds")
-    table = {("closed", "open"): "ready", ("ready", "send"): "ready", ("ready", "idle"): "closed"}
-    out = run(P.machine(live, table, "closed", postponed=frozenset(["send"]), timeouts_ms={"ready": (60_000, "idle")}), tmp_path, "update")
+    table = {("closed", "open"): "opening", ("opening", "opened"): "ready", ("ready", "send"): "ready", ("ready", "idle"): "closed"}
+    out = run(P.machine(live, table, "closed", postponed=frozenset(["send"]), timeouts_ms={"ready": (60_000, "idle")}, internal={"opening": "opened"}), tmp_path, "update")
     got = [(r.key, r.state, r.changes, r.handled) for r in out.where("key < 9").collect()]
-    assert (1, "ready", 1, 3) in got and (2, "ready", 1, 1) in got  # both waiting sends were handled after open
-    assert (1, "closed", 2, 4) in got and (2, "closed", 2, 2) in got  # a minute later the timer closed them
+    assert (1, "ready", 2, 4) in got and (2, "ready", 2, 2) in got  # an internal event opened them; both waiting sends were handled then
+    assert (1, "closed", 3, 5) in got and (2, "closed", 3, 3) in got  # a minute later the timer closed them
