@@ -17,50 +17,57 @@ single word's length.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FREQUENT, PAIR_BUCKETS, WORD_BUCKETS = 1 << 18, 1 << 16, 1 << 17
+from sluice.llm.store import released, written
+
+FREQUENT, PAIR_BUCKETS, WORD_BUCKETS = 1 << 17, 1 << 16, 1 << 16
 NONE = (1 << 31) - 1
 MUL = 40503
 
 
+def bucketed_map(bucket: np.ndarray, keys: pa.Array, items: pa.Array, buckets: int) -> pa.Array:
+    """One row: an array of maps, one for each bucket."""
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).astype(np.int32)
+    maps = pa.MapArray.from_arrays(pa.array(edges), keys.take(pa.array(order)), items.take(pa.array(order)))
+    return pa.ListArray.from_arrays(pa.array([0, buckets], pa.int32()), maps)
+
+
 class Vocabulary:
-    """Ranks of byte strings from the lines of a rank file; pairs: (left id, right id) to the id they merge to."""
+    """Ranks of byte strings from the lines of a rank file, as one-row tables: bytes (ids of the 256 bytes), merges (for
+    each pair of ids, by bucket, the id they merge to) and pieces (hex digits of each id's bytes)."""
 
     def __init__(self, lines: list[bytes]) -> None:
-        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-        get = self.ranks.get
-        self.pairs: dict[tuple[int, int], int] = {}
-        for token, rank in self.ranks.items():
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+        get = ranks.get
+        merges = array("q")
+        for token, rank in ranks.items():
             for k in range(1, len(token)):
                 a, b = get(token[:k]), get(token[k:])
                 if a is not None and b is not None:
-                    self.pairs[a, b] = rank
+                    merges.extend((a, b, rank))
+        left, right, merged = np.frombuffer(merges, np.int64).reshape(-1, 3).T
+        pieces: list[str | None] = [None] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            pieces[rank] = token.hex()
+        self.tables = {
+            "bytes": pa.array([[ranks[bytes([v])] for v in range(256)]], pa.list_(pa.int32())),
+            "merges": bucketed_map((left * MUL + right) % PAIR_BUCKETS, pa.array(left << 20 | right), pa.array(merged.astype(np.int32)), PAIR_BUCKETS),
+        }
+        self.pieces = {"pieces": pa.array([pieces], pa.list_(pa.string()))}
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
         with open(path, "rb") as f:
             return cls(f.read().splitlines())
 
-    def tables(self) -> dict[str, pa.Array]:
-        """bytes: ids of the 256 bytes; merges: pairs by bucket; pieces: hex digits of each id's bytes."""
-        by_bucket: list[list[tuple[int, int]]] = [[] for _ in range(PAIR_BUCKETS)]
-        for (a, b), rank in self.pairs.items():
-            by_bucket[(a * MUL + b) % PAIR_BUCKETS].append((a << 20 | b, rank))
-        size = max(self.ranks.values(), default=-1) + 1
-        pieces: list[str | None] = [None] * size
-        for token, rank in self.ranks.items():
-            pieces[rank] = token.hex()
-        return {
-            "bytes": pa.array([[self.ranks[bytes([v])] for v in range(256)]], pa.list_(pa.int32())),
-            "merges": pa.array([by_bucket], pa.list_(pa.map_(pa.int64(), pa.int32()))),
-            "pieces": pa.array([pieces], pa.list_(pa.string())),
-        }
-
 
 def literal(spark: SparkSession, columns: dict[str, pa.Array]) -> Column:
     """One row of tables as a struct-valued scalar subquery. A select of its own must name it before a higher-order
@@ -106,21 +113,29 @@ def folded(word: Column, t: Column) -> Column:
 
 
 def frequent_words(docs: DataFrame, vocabulary: Vocabulary, pattern: str, most: int) -> dict[str, pa.Array]:
-    """The most common words and their ids, by bucket of their hash."""
+    """The commonest words (as many whole counts as make at most ``most`` words) and their ids, by bucket of their hash.
+    The counts of all words stay on the executors; the driver sees how many words have each count, from the top until
+    ``most`` is passed."""
     spark = docs.sparkSession
-    counts = docs.select(F.explode(words(F.col("text"), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(most).select("word")
-    rows = top.select("word", literal(spark, vocabulary.tables()).alias("_t")).select("word", bound(F.col("_t"), lambda t: folded(F.col("word"), t)).alias("ids"), F.pmod(F.xxhash64("word"), F.lit(WORD_BUCKETS)).cast("int").alias("b")).toArrow()
-    by_bucket: list[list] = [[] for _ in range(WORD_BUCKETS)]
-    for word, ids, b in zip(*(rows.column(c).to_pylist() for c in ("word", "ids", "b")), strict=True):
-        by_bucket[b].append((word, ids))
-    return {"words": pa.array([by_bucket], pa.list_(pa.map_(pa.string(), pa.list_(pa.int32()))))}
+    counts = written(docs.select(F.explode(words(F.col("text"), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
+    least, total = None, 0
+    for n, size in counts.groupBy("n").agg(F.count("*").alias("size")).orderBy(F.desc("n")).limit(most).toLocalIterator():
+        total += size
+        if total > most:
+            break
+        least = n
+    top = counts.where(F.col("n") >= (NONE if least is None else least)).select("word", literal(spark, vocabulary.tables).alias("_t"))
+    bucket = F.pmod(F.xxhash64("word"), F.lit(WORD_BUCKETS)).cast("int")
+    rows = top.select("word", bound(F.col("_t"), lambda t: folded(F.col("word"), t)).alias("ids"), bucket.alias("b")).toArrow().combine_chunks()
+    released(spark, counts)
+    word, ids, b = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in rows.columns)
+    return {"words": bucketed_map(b.to_numpy(), word, ids, WORD_BUCKETS)}
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, frequent: int = FREQUENT) -> DataFrame:
     """All columns of docs and ids (array of int), the text's token ids."""
     spark = docs.sparkSession
-    t = literal(spark, vocabulary.tables() | frequent_words(docs, vocabulary, pattern, frequent))
+    t = literal(spark, vocabulary.tables | frequent_words(docs, vocabulary, pattern, frequent))
 
     def known(w: Column, t: Column) -> Column:
         return F.try_element_at(F.get(t["words"], F.pmod(F.xxhash64(w), F.lit(WORD_BUCKETS)).cast("int")), w)
@@ -132,7 +147,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, frequent: int
 
 def decode(tokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """All columns of tokens and decoded (binary), the bytes of its ids."""
-    t = literal(tokens.sparkSession, {"pieces": vocabulary.tables()["pieces"]})
+    t = literal(tokens.sparkSession, vocabulary.pieces)
     own = [F.col(f"`{c}`") for c in tokens.columns]
     joined = bound(F.col("_t"), lambda t: F.array_join(F.transform("ids", lambda i: F.get(t["pieces"], i)), ""))
     return tokens.select(*own, t.alias("_t")).select(*own, F.unhex(joined).alias("decoded"))
