@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm.store import fresh_path
 
-BLOCK, PERCENTILE, SEGMENT, PIECES, STEMS = 512, 92, 1 << 19, 700_000, 400_000
+BLOCK, PERCENTILE, SEGMENT, PIECES, STEMS = 512, 92, 1 << 19, 700_000, 700_000
 HEAD = struct.Struct("<4sIQI")
 MAGIC = b"PFR1"
 
@@ -136,6 +136,17 @@ class Segment:
         return grid.ravel()[begin - first * BLOCK : end - first * BLOCK]
 
 
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it is printable in Latin-1, else
+    the next of the characters from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+BYTE_CHARACTERS = byte_characters()
+
+
 class WordEncoder:
     """The tokenizer's ids of whole texts, by way of a bounded cache of the ids of pieces between spaces and line feeds.
 
@@ -154,6 +165,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -167,6 +179,12 @@ class WordEncoder:
         raw = ids.tobytes()
         return [raw[a + 4 : b] for a, b in zip([-4, *cut], [*cut, len(raw)], strict=True)]
 
+    def word(self, stem: str) -> bytes:
+        """Ids of small Latin letters: normaliser and pattern leave such a word as it is, so the library's model can
+        have it at once, in its characters for bytes."""
+        text = stem if stem.isascii() else "".join([BYTE_CHARACTERS[b] for b in stem.encode()])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(text)])
+
     def add(self, pieces: list[str]) -> None:
         """Make pieces known. A piece of Latin letters and a tail of signs is two tokens' worth to the pattern, and the
         normaliser lowers the letters, so its ids are those of the lowered letters and those of the tail."""
@@ -180,6 +198,8 @@ class WordEncoder:
             stem = p.rstrip(signs)
             if stem.isalpha() and (stem.isascii() or max(stem) < simple):
                 tail, stem = p[len(stem) :], stem.lower()
+                if stem not in stems:
+                    stems[stem] = self.word(stem)
             elif self.MARK in p:
                 young[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
                 continue

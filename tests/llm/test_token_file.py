@@ -38,6 +38,13 @@ def test_pieces_give_the_ids_of_the_whole_text(text):
     assert np.frombuffer(T.encoder(JSON).encode([text])[0], "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_every_simple_letter():
+    letters = [chr(c) for c in range(0x130) if chr(c).isalpha()]
+    words = [*letters, "".join(letters), *(a + "ab" + b for a, b in zip(letters, letters[7:], strict=False)), "ÉCOLE!!", "straße,", "x" * 500]
+    for w, ids in zip(words, T.encoder(JSON).encode(words), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == WHOLE.encode(w, add_special_tokens=False).ids
+
+
 def test_query_matches_a_plain_loop(spark):
     texts = ["It's the END.\nof  12 things", None, "", "naïve café " * 9000, "<|endoftext|> x", "word"]
     rows = [(i * 3 % 7, t, 9) for i, t in enumerate(texts)] + [(3, "word", 9), (None, "first", 9)] + [(100 + i, f"text {i} " * (i % 50), 9) for i in range(300)]
