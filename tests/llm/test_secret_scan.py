@@ -56,6 +56,11 @@ def test_only_confirmed_structures_are_added():
     assert not S.is_der_key(RSA[:-1]) and not S.is_der_key(RSA + b"\0") and not S.is_signed_token("eyJhIjoxfQ.eyJhIjoxfQ.x")
 
 
+def test_long_runs_take_linear_time():
+    for text in ("eyJ" * 300_000, "eyJ." * 100_000, "ab" * 500_000, "token = " * 100_000, "A" * 1_000_000):
+        S.spans_of(text)
+
+
 def test_redaction_replaces_spans_and_keeps_columns(spark):
     df = spark.createDataFrame([(1, TEXTS[2], "k"), (2, None, None), (3, "clean", "")], "doc_id long, text string, lang string")
     assert {r.doc_id: r.text for r in S.redact(df).collect()} == {1: 'é [SECRET]" x', 2: None, 3: "clean"} and S.redact(df).columns == df.columns
