@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.grid import ALNUM, LOWER, Grid, grids
+from sluice.llm.grid import ALNUM, LOWER, Grid, grids, sliced
 
 BITS = 22
 SPANS = "array<struct<start:int,end:int>>"
@@ -93,7 +93,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int) ->
         held = spark.sparkContext.broadcast(WindowSet(items, n))
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches, "text"):
                 texts = batch.column("text").to_pylist()
                 spans, found = batch.column("_spans").to_pylist(), batch.column("_items").to_pylist()
                 counts: list[int] = []
@@ -137,7 +137,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str
     place = docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             texts = batch.column("text").to_pylist()
             for i, spans in enumerate(batch.column("_spans").to_pylist()):
                 if spans:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.grid import sliced
 from sluice.llm.store import written
 
 WIDTH, ROWS, DELAY_CS, FULL = 64, 256, 4, 4096
@@ -228,17 +229,6 @@ def decode(data: bytes) -> tuple[list[dict], bytes]:
     return frames, b"".join(samples)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches of about size bytes in column, so that what a map makes of one stays small."""
-    for batch in batches:
-        begin = held = 0
-        for i, n in enumerate(batch.column(column)):
-            held += len(n.as_buffer() or b"") if n.is_valid else 0
-            if held >= size or i + 1 == batch.num_rows:
-                yield batch.slice(begin, i + 1 - begin)
-                begin, held = i + 1, 0
-
-
 def encode_texts(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_bytes (of the text) and media, the GIF of its padded UTF-8 bytes."""
 

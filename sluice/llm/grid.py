@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK = 1 << 20
 #: Fixed odd multipliers of the rolling hashes; both sides of every comparison use the same ones.
@@ -98,3 +100,16 @@ def grids(rows: Iterable[tuple[list, list[bytes | None]]], word: np.ndarray, fol
             if held >= CHUNK or i + 1 == len(texts):
                 yield keys[begin : i + 1], Grid([t or b"" for t in texts[begin : i + 1]], word, fold)
                 begin, held = i + 1, 0
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of about size bytes in a text or binary column (or one longer row), so that what a map makes of a batch
+    stays small."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        begin = 0
+        while begin < batch.num_rows:
+            before = int(ends[begin - 1]) if begin else 0
+            end = min(max(int(np.searchsorted(ends, before + size)), begin + 1), batch.num_rows)
+            yield batch.slice(begin, end - begin)
+            begin = end

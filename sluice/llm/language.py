@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.grid import LOWER, Grid, grids
+from sluice.llm.grid import LOWER, Grid, grids, sliced
 
 ORDERS, BITS = (2, 3, 4), 16
 SWITCH, OPENING = 12.0, 0.25
@@ -182,7 +182,7 @@ def label_languages(docs: DataFrame, model: Model | None, penalty: float = SWITC
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = docs_columns.index("text")
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             texts = batch.column(place).to_pylist()
             raw = [(t or "").encode() for t in texts]
             langs, scores, spans = [], [], []

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.components import components
-from sluice.llm.grid import LOWER, NOT_SPACE, Grid, grids, mix, range_hashes
+from sluice.llm.grid import LOWER, NOT_SPACE, Grid, grids, mix, range_hashes, sliced
 from sluice.llm.store import released, written
 
 SHINGLE, NUM, DEN = 5, 75, 100
@@ -85,7 +85,7 @@ def describe(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, n long, class binary, bands array<long>, sketch array<long>"
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             texts = batch.column("text").to_pylist()
             n, key, band, bits = [], [], [], []
             for _, grid in grids([(texts, texts)], NOT_SPACE, LOWER):
@@ -109,7 +109,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id and its set (binary) for the ids of a one-column table."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             texts = batch.column("text").to_pylist()
             own = [s.tobytes() for _, grid in grids([(texts, texts)], NOT_SPACE, LOWER) for s in shingle_sets(grid)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own, pa.binary())], names=["id", "shingles"])
@@ -117,6 +117,11 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return slim(docs).join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(made, "id long, shingles binary")
 
 
+def hashes(sets: pa.Array) -> list[np.ndarray]:
+    """Sets of a binary column, without copies."""
+    return [np.frombuffer(s.as_buffer(), np.uint64) for s in sets]
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sorted sets reach the threshold."""
     if DEN * min(len(a), len(b)) < NUM * max(len(a), len(b)):
@@ -131,8 +136,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs a, b whose full sets reach the threshold."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+        for batch in sliced(batches, "x"):
+            keep = [similar(x, y) for x, y in zip(hashes(batch.column("x")), hashes(batch.column("y")), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
@@ -154,6 +159,15 @@ def proposals(members: DataFrame, about: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(sized & (off("sa", "sb") <= BITS_OFF)).select("a", "b").distinct()
 
 
+NOBODY = np.zeros(0, np.int64)
+
+
+def lists(parts: list[np.ndarray]) -> pa.Array:
+    """Arrays of numbers as a list column."""
+    edges = np.cumsum([0] + [len(p) for p in parts]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([NOBODY, *parts])))
+
+
 def leftovers(members: DataFrame, about: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows (cell, id, root, partners) of the buckets that hold several components: partners are the members of other
     components that the sketch leaves possible. A cell is a block of the bucket's outsiders (those not in the component
@@ -173,17 +187,17 @@ def leftovers(members: DataFrame, about: DataFrame, roots: DataFrame) -> DataFra
         ids, root, n = (rows.column(c).to_numpy() for c in ("id", "root", "n"))
         bits = np.array(rows.column("sketch").to_pylist(), np.int64).reshape(len(ids), -1).view(np.uint64)
         o, m = np.flatnonzero(outside), np.flatnonzero(~outside)
-        found: dict[int, list[int]] = {}
+        found: dict[int, np.ndarray] = {}
         met: set[int] = set()
         for x in o.tolist():
             near = (root[m] != root[x]) & (DEN * np.minimum(n[m], n[x]) >= NUM * np.maximum(n[m], n[x]))
             near[near] = np.bitwise_count(bits[m[near]] ^ bits[x]).sum(1) <= BITS_OFF
             if near.any():
-                found[int(ids[x])] = ids[m[near]].tolist()
-                met.update(found[int(ids[x])])
+                found[int(ids[x])] = ids[m[near]]
+                met.update(ids[m[near]].tolist())
         who = sorted(met | set(found))
         cell = "/".join(str(k.as_py()) for k in key)
-        return pa.table({"cell": pa.array([cell] * len(who), pa.string()), "id": pa.array(who, pa.int64()), "partners": pa.array([found.get(i, []) for i in who], pa.list_(pa.int64()))})
+        return pa.table({"cell": pa.array([cell] * len(who), pa.string()), "id": pa.array(who, pa.int64()), "partners": lists([found.get(i, NOBODY) for i in who])})
 
     return as_member.unionByName(as_outsider).groupBy("bucket", "i", "j").applyInArrow(partners, "cell string, id long, partners array<long>")
 
@@ -192,8 +206,9 @@ def confirmed_cells(cells: DataFrame, sets: DataFrame) -> DataFrame:
     """Confirmed pairs a, b of leftovers' cells."""
 
     def check(key: tuple, rows: pa.Table) -> pa.Table:
-        own = {i: np.frombuffer(s, np.uint64) for i, s in zip(rows.column("id").to_pylist(), rows.column("shingles").to_pylist(), strict=True)}
-        good = [(i, p) for i, ps in zip(rows.column("id").to_pylist(), rows.column("partners").to_pylist(), strict=True) for p in ps if p in own and similar(own[i], own[p])]
+        ids = rows.column("id").to_pylist()
+        own = dict(zip(ids, hashes(rows.column("shingles")), strict=True))
+        good = [(i, p) for i, ps in zip(ids, rows.column("partners"), strict=True) for p in ps.values.to_numpy().tolist() if p in own and similar(own[i], own[p])]
         return pa.table({"a": pa.array([min(g) for g in good], pa.int64()), "b": pa.array([max(g) for g in good], pa.int64())})
 
     return cells.join(sets, "id").groupBy("cell").applyInArrow(check, "a long, b long")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.grid import NOT_SPACE, Grid, grids, mix
+from sluice.llm.grid import NOT_SPACE, Grid, grids, mix, sliced
 
 BITS, ORDERS = 18, (2, 3)
 
@@ -121,7 +121,7 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             texts = batch.column("text").to_pylist()
             parts = [1 / (1 + np.exp(-held.value.logits(grid))) for _, grid in grids([(texts, texts)], NOT_SPACE)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(parts or [np.zeros(0)]), pa.float64())], names=["doc_id", "score"])

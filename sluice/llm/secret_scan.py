@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.grid import sliced
+
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
@@ -150,7 +152,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             spans = [[{"kind": k, "start": a, "end": b} for k, a, b in spans_of(t)] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind)], names=["doc_id", "spans"])
 
@@ -171,7 +173,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     place = docs.columns.index("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             columns = [batch.column(k) for k in range(batch.num_columns)]
             columns[place] = pa.array([redacted(t, mark) for t in columns[place].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.fm_index import FmIndex, matching
-from sluice.llm.grid import NOT_SPACE, Grid, grids
+from sluice.llm.grid import NOT_SPACE, Grid, grids, sliced
 from sluice.llm.store import bucketed, released, written
 
 SPAN, SHINGLE, SHARD, HOT = 13, 5, 1_500_000, 20_000
@@ -61,7 +61,7 @@ def facts(docs: DataFrame) -> DataFrame:
     """Per row of slim(): doc_id, version, n_words and digest (of its words, joined by a space)."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             sizes, digests = [], []
             for text in batch.column("text"):
                 words = text.as_py().split()  # of one text at a time
@@ -76,7 +76,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     """Distinct (anchor, doc_id)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             for keys, grid in grids([(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())], NOT_SPACE):
                 first, anchor, place = anchors(grid)
                 if not len(first):
@@ -95,7 +95,7 @@ def segments(docs: DataFrame, shared: DataFrame) -> DataFrame:
     """(cell, segment, doc_id, version, at): the words of consecutive windows of one shared anchor, where they start."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             ids, versions, texts = (batch.column(c).to_pylist() for c in ("doc_id", "version", "text"))
             lists, hots = batch.column("anchors"), batch.column("hot")
             for rows, grid in grids([(list(range(len(texts))), texts)], NOT_SPACE):
@@ -189,7 +189,7 @@ def without(docs: DataFrame, hits: DataFrame) -> DataFrame:
     version, starts), the first words of the windows to remove."""
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             gone, left = [], []
             for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts"), strict=True):
                 words = text.split()
