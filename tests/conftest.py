@@ -1,9 +1,12 @@
+import os
 import pathlib
 import sys
 
 import pytest
 
-sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent.parent))
+REPO = str(pathlib.Path(__file__).resolve().parent.parent)
+sys.path.insert(0, REPO)
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [REPO, os.environ.get("PYTHONPATH")]))  # for Python workers
 
 
 @pytest.fixture(scope="session")
