@@ -2,7 +2,7 @@
 
 Texts are cut into words by the tokenizer's pattern (Java's regular expressions with Unicode classes). A higher-order
 fold merges a word's byte array: it starts from the bytes' ids, keeps the rank of every adjacent pair, and merges the
-leftmost pair of least rank until no pair has one. Ranks come from a literal map, dealt into small buckets so that a
+leftmost pair of least rank until no pair has one. A vocabulary has up to 2**19 - 1 ids, a word up to 2**25 bytes. Ranks come from a literal map, dealt into small buckets so that a
 look-up doesn't scan 50,000 entries; it reaches the tasks as the value of a scalar subquery.
 
 All words of the corpus are counted; the ``FREQUENT`` commonest distinct words (a fixed number, so what the driver holds
@@ -30,6 +30,11 @@ from sluice.llm.store import released, written
 FREQUENT, PAIR_BUCKETS, WORD_BUCKETS = 1 << 17, 1 << 16, 1 << 16
 NONE = (1 << 31) - 1
 MUL = 40503
+#: Widths of a token's id and place in the fold's state, masks of both, and the least state of a token without a pair.
+ID_BITS, PLACE_BITS = 19, 25
+IDS = (1 << ID_BITS) - 1
+PLACES = ((1 << PLACE_BITS) - 1) << ID_BITS
+UNRANKED = IDS << (ID_BITS + PLACE_BITS)
 
 
 def bucketed_map(bucket: np.ndarray, keys: pa.Array, items: pa.Array, buckets: int) -> pa.Array:
@@ -85,31 +90,36 @@ def words(text: Column, pattern: str) -> Column:
 
 
 def folded(word: Column, t: Column) -> Column:
-    """Ids of one word by ranked merges."""
+    """Ids of one word by ranked merges. The fold's state has one number for each token: the rank of its pair with the
+    next one, the place of its first byte, its id; so the least number is the leftmost pair of least rank."""
 
-    def rank(a: Column, b: Column) -> Column:
-        bucket = F.get(t["merges"], F.pmod(a * MUL + b, F.lit(PAIR_BUCKETS)))
-        return F.coalesce(F.try_element_at(bucket, F.shiftleft(a.cast("long"), 20) + b), F.lit(NONE))
+    def part(x: Column, mask: int) -> Column:
+        return x.bitwiseAND(F.lit(mask))
 
-    def start(ids: Column) -> Column:
-        ranks = F.when(F.size(ids) > 1, F.transform(F.sequence(F.lit(0), F.size(ids) - 2), lambda i: rank(F.get(ids, i), F.get(ids, i + 1)))).otherwise(F.array().cast("array<int>"))
-        return F.struct(ids.alias("ids"), ranks.alias("ranks"))
+    def ranked(token: Column, after: Column) -> Column:
+        """token (place and id) with the rank of its pair with the id after it; none if there is no such id."""
+        a = part(token, IDS)
+        merged = F.try_element_at(F.get(t["merges"], F.pmod(a * MUL + after, F.lit(PAIR_BUCKETS)).cast("int")), F.shiftleft(a, 20) + after)
+        return F.shiftleft(F.coalesce(merged.cast("long"), F.lit(IDS)), ID_BITS + PLACE_BITS).bitwiseOR(token)
 
-    def merge(s: Column, p: Column, m: Column) -> Column:
-        """p: place of the pair, from 1."""
-        left = F.when(p > 1, F.array(rank(F.get(s["ids"], p - 2), m))).otherwise(F.array().cast("array<int>"))
-        right = F.when(p < F.size(s["ranks"]), F.array(rank(m, F.get(s["ids"], p + 1)))).otherwise(F.array().cast("array<int>"))
-        n = F.size(s["ids"])
-        ids = F.concat(F.slice(s["ids"], F.lit(1), p - 1), F.array(m), F.slice(s["ids"], p + 2, n))
-        ranks = F.concat(F.slice(s["ranks"], F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(s["ranks"], p + 2, n))
-        return F.struct(ids.alias("ids"), ranks.alias("ranks"))
+    def merge(s: Column, m: Column, p: Column) -> Column:
+        """m takes in the token after it, p: index of the token before m."""
+        merged = F.shiftright(m, ID_BITS + PLACE_BITS)
+        grown = ranked(part(m, PLACES).bitwiseOR(merged), part(F.get(s, p + 3), IDS))
+        return F.transform(F.array_remove(s, F.get(s, p + 2)), lambda x, i: F.when(x == m, grown).when(i == p, ranked(part(x, PLACES | IDS), merged)).otherwise(x))
 
     def step(s: Column, _: Column) -> Column:
-        least = F.coalesce(F.array_min(s["ranks"]), F.lit(NONE))
-        return bound(least, lambda m: F.when(m == NONE, s).otherwise(bound(F.array_position(s["ranks"], m).cast("int"), lambda p: merge(s, p, m))))
+        return bound(F.array_min(s), lambda m: F.when(m >= UNRANKED, s).otherwise(bound((F.array_position(s, m) - 2).cast("int"), lambda p: merge(s, m, p))))
 
-    byte_ids = F.transform(F.split(F.hex(word), r"(?<=\G..)(?!$)"), lambda h: F.get(t["bytes"], F.conv(h, 16, 10).cast("int")))
-    return bound(byte_ids, lambda ids: F.aggregate(F.sequence(F.lit(1), F.size(ids)), start(ids), step)["ids"])
+    def merged_all(tokens: Column) -> Column:
+        start = F.transform(tokens, lambda x, i: ranked(x, part(F.get(tokens, i + 1), IDS)))
+        return F.transform(F.aggregate(F.sequence(F.lit(1), F.size(tokens)), start, step), lambda x: part(x, IDS).cast("int"))
+
+    def of_bytes(digits: Column) -> Column:
+        places = F.sequence(F.lit(0), F.shiftright(F.length(digits), 1) - 1)
+        return F.transform(places, lambda i: F.shiftleft(i.cast("long"), ID_BITS).bitwiseOR(F.get(t["bytes"], F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))))
+
+    return bound(F.hex(word), lambda digits: bound(of_bytes(digits), merged_all))
 
 
 def frequent_words(docs: DataFrame, vocabulary: Vocabulary, pattern: str, most: int) -> dict[str, pa.Array]:
