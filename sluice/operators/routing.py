@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.sources.shared import written
+
 
 def deliver(messages: DataFrame, processes: DataFrame, key: str) -> DataFrame:
     """Messages whose destination exists, with its columns."""
@@ -26,8 +28,20 @@ def send_named(messages: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def replies(calls: DataFrame, answers: DataFrame, request: str, within: str) -> DataFrame:
-    """Every call with its first answer in time (reply_at), or a null and ``timed_out``."""
-    a = answers.select(F.col(request), F.col("ts").alias("reply_ts"))
-    both = calls.join(a, [request], "left").where("true")
-    on_time = F.when((F.col("reply_ts") >= F.col("ts")) & (F.col("reply_ts") <= F.col("ts") + F.expr(f"interval {within}")), F.col("reply_ts"))
-    return both.groupBy(*calls.columns).agg(F.min(on_time).alias("reply_at")).withColumn("timed_out", F.col("reply_at").isNull())
+    """Every call with its first answer in time (reply_at), or a null and ``timed_out``. Equal calls count once.
+
+    Calls and answers are dealt together by ranges of request and time and written once, so that a request with many
+    rows is split over tasks and no call meets more than one answer: within a range the next answer is carried backwards,
+    and where there is none, it is the first of the ranges behind (a row for each request and range)."""
+    names = calls.columns
+    c = calls.distinct().select(F.col(request).alias("_key"), F.col("ts").alias("_ts"), F.lit(None).cast(answers.schema["ts"].dataType).alias("_reply"), F.struct(*[F.col(n) for n in names]).alias("_call"))
+    a = answers.where(F.col(request).isNotNull() & F.col("ts").isNotNull()).select(F.col(request).alias("_key"), F.col("ts").alias("_ts"), F.col("ts").alias("_reply"))
+    rows = c.unionByName(a, allowMissingColumns=True)
+    dealt = written(rows.repartitionByRange("_key", "_ts").withColumn("_range", F.spark_partition_id()), "replies")
+    behind = Window.partitionBy("_key").orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = dealt.groupBy("_key", "_range").agg(F.min("_reply").alias("_first"))
+    later = firsts.select("_key", "_range", F.min("_first").over(behind).alias("_later")).where("_later IS NOT NULL")
+    own = Window.partitionBy("_key", "_range").orderBy(F.desc("_ts"), F.col("_reply").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    first = dealt.withColumn("_next", F.min("_reply").over(own)).where("_call IS NOT NULL").join(later, ["_key", "_range"], "left").withColumn("_next", F.coalesce("_next", "_later"))
+    reply = F.when(F.col("_next") <= F.col("_ts") + F.expr(f"interval {within}"), F.col("_next"))
+    return first.select("_call.*", reply.alias("reply_at")).withColumn("timed_out", F.col("reply_at").isNull())

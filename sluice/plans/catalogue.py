@@ -412,7 +412,7 @@ def random_alive_member(spark, sf):
     FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click' AND event_id % 4 = 0) c LEFT JOIN (SELECT user_id, ts FROM events WHERE event_type = 'purchase') r ON c.user_id = r.user_id GROUP BY c.event_id""")
 def reply_timeout(spark, sf):
     e = read(spark, sf, "events")
-    calls = e.where("event_type = 'click' AND event_id % 4 = 0").select("event_id", "user_id", "ts")
+    calls = e.where("event_type = 'click'").select("event_id", "user_id", "ts")
     return routing.replies(calls, e.where("event_type = 'purchase'"), "user_id", "1 DAY").select("event_id", "reply_at", "timed_out")
 
 
