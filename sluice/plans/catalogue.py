@@ -174,7 +174,7 @@ def registry_export(spark, sf):
 
 @query("SELECT count(*) AS names FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND event_id % 50 = 0) a WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND event_id % 50 = 0 AND value > 30)")
 def unregistered_names(spark, sf):
-    e = read(spark, sf, "events").where("event_type = 'signup' AND event_id % 50 = 0").withColumn("name", F.col("user_id"))
+    e = read(spark, sf, "events").where("event_type = 'signup'").withColumn("name", F.col("user_id"))
     return registry.unregistered_names(e, e.where("value > 30"))
 
 

@@ -41,3 +41,9 @@ def test_replies_across_ranges_of_one_request(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_unregistered_names_of_every_signup(spark, tmp_path):
+    rows = [(1, 1, "signup", 5.0), (2, 1, "signup", 40.0), (3, 2, "signup", 7.0), (50, 2, "signup", 9.0), (4, 3, "signup", 1.0), (5, 4, "view", 2.0), (100, 5, "signup", 6.0), (101, 5, "signup", 31.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    assert catalogue.QUERIES["unregistered_names"](spark, str(tmp_path)).first().names == 2  # 2 and 3; 1 and 5 have entries left
