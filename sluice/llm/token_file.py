@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import struct
 from collections.abc import Callable, Iterator
 
@@ -150,8 +151,8 @@ BYTE_CHARACTERS = byte_characters()
 class WordEncoder:
     """The tokenizer's ids of whole texts, by way of a bounded cache of the ids of pieces between spaces and line feeds.
 
-    The tokenizer's pattern never joins across white space and its normaliser never composes across it, so the ids of a
-    text are those of its pieces in order. New pieces are encoded many at a time with a mark between them, and the ids
+    The tokenizer's pattern never joins across white space, its normaliser never composes across it and its added tokens
+    hold none, so the ids of a text are those of its pieces in order. New pieces are encoded many at a time with a mark between them, and the ids
     cut at the mark's. The cache has two generations: when the younger is full it becomes the older, so pieces in use
     stay."""
 
@@ -164,8 +165,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        #: A piece that may hold an added token (in any case, as a normaliser lowers) goes to the library whole.
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or "(?!)", re.I)
         (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -189,12 +192,15 @@ class WordEncoder:
         """Make pieces known. A piece of Latin letters and a tail of signs is two tokens' worth to the pattern, and the
         normaliser lowers the letters, so its ids are those of the lowered letters and those of the tail."""
         young, promote, stems, signs, simple = self.young, self.old.pop, self.stems, self.SIGNS, self.SIMPLE
-        split, fresh = [], set()
+        added, split, fresh = self.added.search, [], set()
         for p in pieces:
             ids = promote(p, None)
             if ids is not None:
                 young[p] = ids
                 continue
+            if added(p):
+                young[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+                continue
             stem = p.rstrip(signs)
             if stem.isalpha() and (stem.isascii() or max(stem) < simple):
                 tail, stem = p[len(stem) :], stem.lower()
