@@ -28,7 +28,10 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none""", re.I)
+#: HIDDEN says where to look closer: ANY_ATTRIBUTE's names and values tell whether the tag is hidden.
+HIDDEN = re.compile(r"\bhidden\b|\bdisplay\b", re.I)
+ANY_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 NAME = re.compile(r"[a-z]+")
 #: Element names of the HTML standard by their role in cutting a page into blocks.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul title button".split())
@@ -50,6 +53,16 @@ class Block:
         self.text, self.linked, self.chain, self.names = text, linked, chain, names
 
 
+def is_hidden(attributes: str) -> bool:
+    """Whether a tag has the attribute ``hidden`` itself or a style of ``display: none``. Words of other attributes and
+    of their values (overflow:hidden, hidden-xs, aria-hidden) don't hide text."""
+    for name, value in ANY_ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" and value.lower() not in ("false", "until-found") or name == "style" and NOT_SHOWN.search(value):
+            return True
+    return False
+
+
 def leaf_blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], bool]] = []
@@ -113,7 +126,7 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         attributes = m[2]
         names = tuple(NAME.findall(" ".join(v for _, v in ATTRIBUTE.findall(attributes)).lower())) if "=" in attributes else ()
-        off = bool(attributes and HIDDEN.search(attributes))
+        off = bool(attributes and HIDDEN.search(attributes) and is_hidden(attributes))
         stack.append((tag, names, off))
         links += tag == "a"
         hidden += off
