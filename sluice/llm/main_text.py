@@ -35,7 +35,9 @@ NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 NAME = re.compile(r"[a-z]+")
 #: Element names of the HTML standard by their role in cutting a page into blocks.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul title button".split())
-RAW = frozenset("script style textarea noscript template svg math iframe object canvas audio video title".split())
+RAW = frozenset("script style textarea noscript template svg iframe object canvas audio video title".split())
+#: Of RAW, those whose text HTML takes to the end of the page where no closing tag follows; of the rest the tag alone is skipped.
+SWALLOWS = frozenset("script style textarea template iframe title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": set(), "tbody": {"thead", "tr", "td", "th"}}
 SCOPE = frozenset("article aside body div footer form header html main nav section table ul ol dl blockquote td th".split())
@@ -67,6 +69,7 @@ def leaf_blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], bool]] = []
     text: list[str] = []
+    unclosed: set[str] = set()
     linked = links = hidden = 0
 
     def close_block() -> None:
@@ -119,8 +122,13 @@ def leaf_blocks(page: str) -> list[Block]:
         elif tag in ("br", "img", "input"):
             text.append(" ")
         if tag in RAW:
+            if tag == "svg" and m[0].endswith("/>") or tag in unclosed:
+                continue
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else end
+            if close or tag in SWALLOWS:
+                at = close.end() if close else end
+            else:
+                unclosed.add(tag)
             continue
         if tag in VOID or m[0].endswith("/>"):
             continue

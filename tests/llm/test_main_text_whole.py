@@ -22,3 +22,16 @@ def test_hidden_attribute_and_style_hide(attributes):
 def test_an_article_in_a_wrapper_with_overflow_hidden():
     page = M.labelled_pages(1, seed=3)[0][0].replace("<body>", '<body style="overflow:hidden">')
     assert texts(page) == texts(M.labelled_pages(1, seed=3)[0][0]) != []
+
+
+def test_self_closing_and_unclosed_raw_tags_drop_nothing_else():
+    assert texts('<p>a <svg class="i"/> b</p><p>c<svg><path d="x"/>no</svg> d</p><p>e</p>') == ["a b", "c d", "e"]
+    assert texts('<p>a <svg class="i" /> b</p><p>c</p>') == ["a b", "c"]
+    for tag in ("svg", "object", "canvas", "audio", "video", "noscript"):
+        assert texts(f"<p>a</p><{tag}><p>b</p><{tag}><p>c</p>") == ["a", "b", "c"]
+    for tag in ("script", "style", "textarea", "iframe", "template"):  # HTML takes the rest of the page
+        assert texts(f"<p>a</p><{tag}>b") == ["a"] == texts(f"<p>a</p><{tag}/>b")
+
+
+def test_formulas_are_text():
+    assert texts("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then</p><p>a <math/> b</p><p>c</p>") == ["if x=2 then", "a b", "c"]
