@@ -157,7 +157,7 @@ def features(blocks: list[Block]) -> list[list[str]]:
     for i, b in enumerate(blocks):
         n = len(b.text)
         own = [*path_features(b.chain, b.names), "bias", f"len:{bucket(n)}", f"link:{min(3, int(4 * b.linked / max(n, 1)))}", f"stop:{b.text[-1] in '.!?…\"”'}", f"commas:{min(3, b.text.count(','))}"]
-        low = b.text[:200].lower()
+        low = b.text.lower()
         own += [f"mark:{w}" for w in ("©", "cookie", "copyright", "subscribe", "all rights") if w in low]
         own.append("first" if i == 0 else "last" if i + 1 == len(blocks) else "inside")
         out.append(own)

@@ -35,3 +35,9 @@ def test_self_closing_and_unclosed_raw_tags_drop_nothing_else():
 
 def test_formulas_are_text():
     assert texts("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then</p><p>a <math/> b</p><p>c</p>") == ["if x=2 then", "a b", "c"]
+
+
+@pytest.mark.parametrize("mark", ["©", "Cookie", "copyright", "Subscribe", "All rights"])
+def test_marks_are_seen_anywhere_in_a_block(mark):
+    (own,) = M.features(M.leaf_blocks(f"<div>{'word ' * 100}{mark} end</div>"))
+    assert f"mark:{mark.lower()}" in own
