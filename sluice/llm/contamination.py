@@ -6,7 +6,11 @@ null text) gives none. Every document is scanned in its map task, with no shuffl
 table, then a sorted array, and each remaining hit is verified word by word, so a hash collision cannot report a hit.
 
 What is broadcast is bounded: items are dealt by hash into blocks of at most about ``block_bytes`` of text, and the
-documents pass the blocks one after the other in the same narrow stage. A benchmark of any size is thus scanned whole.
+documents pass the blocks one after the other in the same narrow stage; an item of more than that is a block of its own.
+A benchmark of any size is thus scanned whole.
+
+Items with a null item_id are scanned like the others: their hits count in n_hit and make a document contaminated. They
+are one null entry, last in a document's items, which n_items counts once and the digest of the ids leaves out.
 
 Null or empty document texts have no words and no hits; repeated rows and repeated ids are scanned row by row; an empty
 benchmark reports no hits; further columns are ignored.
@@ -30,8 +34,8 @@ SPANS = "array<struct<start:int,end:int>>"
 class WindowSet:
     """The windows of some benchmark items, by length: bit table, sorted hashes, and item ids by verified word text."""
 
-    def __init__(self, items: list[tuple[int, bytes]], n: int) -> None:
-        self.owners: dict[bytes, set[int]] = {}
+    def __init__(self, items: list[tuple[int | None, bytes]], n: int) -> None:
+        self.owners: dict[bytes, set[int | None]] = {}
         by_length: dict[int, set[int]] = {}
         for keys, grid in grids([([i for i, _ in items], [t for _, t in items])], ALNUM, LOWER):
             for d, key in enumerate(keys):
@@ -50,7 +54,7 @@ class WindowSet:
             bits[(ordered >> np.uint64(64 - BITS)).astype(np.int64)] = True
             self.tables.append((size, ordered, bits))
 
-    def hits(self, grid: Grid) -> Iterator[tuple[int, int, set[int]]]:
+    def hits(self, grid: Grid) -> Iterator[tuple[int, int, set[int | None]]]:
         """(first word, length, items) of every verified occurrence in the grid."""
         for size, ordered, bits in self.tables:
             at, hashes = grid.windows(size)
@@ -62,13 +66,18 @@ class WindowSet:
                     yield s, size, owners
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
-    """The items with text, a block of at most about block_bytes at a time."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id IS NOT NULL AND length(text) > 0")
-    total, largest = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.max(F.length("text")), F.lit(0))).first()
-    blocks = max(1, -(-int(total) // max(1, block_bytes - int(largest)))) if total > block_bytes else 1
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
+def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int | None, bytes]]]:
+    """The items with text, a block of about block_bytes at a time; a larger item is a block of its own."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("length(text) > 0")
+    size, dealt = F.length("text"), F.xxhash64("item_id", "text")
+    own = [r.h for r in items.where(size >= block_bytes).select(dealt.alias("h")).distinct().orderBy("h").collect()]
+    rest = items.where(size < block_bytes)
+    total = rest.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    blocks = max(-(-int(total) // block_bytes), 0 if own else 1)
+    parts = [rest.where(F.pmod(dealt, F.lit(blocks)) == k) for k in range(blocks)]
+    parts += [items.where((size >= block_bytes) & (dealt == h)).distinct() for h in own]
+    for part in parts:
+        rows = part.toArrow()
         yield list(zip(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), strict=True))
 
 
@@ -84,7 +93,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def scanned(docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int) -> DataFrame:
     """All columns of docs (text as binary) and, per row, _n_words, _spans (word positions, end exclusive, merged) and
-    _items, the sorted ids of the items whose windows occur. Narrow: no shuffle, whatever the benchmark's size."""
+    _items, the sorted ids of the items whose windows occur (a null for those without id). Narrow: no shuffle, whatever the benchmark's size."""
     spark = docs.sparkSession
     own = [F.col("text").cast("binary").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     out = docs.select(*own, F.lit(0).alias("_n_words"), F.array().cast(SPANS).alias("_spans"), F.array().cast("array<bigint>").alias("_items"))
@@ -109,7 +118,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int) ->
                     for d, (where, who) in new.items():
                         old = [(x["start"], x["end"]) for x in spans[base + d]]
                         spans[base + d] = [{"start": a, "end": b} for a, b in merged(old + where)]
-                        found[base + d] = sorted(who.union(found[base + d]))
+                        found[base + d] = sorted(who.union(found[base + d]), key=lambda i: (i is None, i or 0))
                 kept = [batch.column(k) for k in range(batch.num_columns - 3)]
                 fresh = [pa.array(counts, pa.int32()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(found, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(kept + fresh, names=batch.schema.names)
