@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def history(order: list[str], *fields: str) -> Column:
-    """A key's rows as an array in a total order."""
-    return F.array_sort(F.collect_list(F.struct(*[F.col(o).alias(f"_{i}") for i, o in enumerate(order)], *fields)))
+#: Rows of one key that are folded in one row; a power of two.
+CHUNK = 1 << 12
 
 
 def counter(events: DataFrame, key: str, order: str, value: Column, reset: Column) -> DataFrame:
@@ -44,15 +43,32 @@ def suspended(events: DataFrame, key: str, order: str, kind: str, suspend: str,
 
 def machine(events: DataFrame, key: str, order: str, kind: str, table: Mapping[tuple[str, str], str], start: str) -> DataFrame:
     """Final state, number of state changes and of handled events of each key's machine; table: (state, event) to next
-    state, other events keep the state."""
+    state, other events keep the state.
+
+    Rows are dealt by ranges of key and order and cut into chunks of at most CHUNK rows; a chunk of a key becomes its
+    transition map (from each state, the state after it and the changes on the way), and a key's maps are applied in
+    order. A key with many rows is split over tasks, and what meets in one row is a chunk, or a map for each chunk."""
     pairs = F.create_map(*[F.lit(x) for (s, e), n in table.items() for x in (f"{s}|{e}", n)])
-    initial = F.struct(F.lit(start).alias("state"), F.lit(0).cast("long").alias("changes"), F.lit(0).cast("long").alias("handled"))
+    states = list(dict.fromkeys([start, *(s for s, _ in table), *table.values()]))
+    end = lambda state, changes: F.struct(state.alias("state"), changes.alias("changes"))
 
     def step(acc: Column, row: Column) -> Column:
-        target = F.coalesce(F.try_element_at(pairs, F.concat_ws("|", acc["state"], row[kind])), acc["state"])
-        return F.struct(target.alias("state"), (acc["changes"] + (target != acc["state"]).cast("long")).alias("changes"), (acc["handled"] + 1).alias("handled"))
-
-    return events.groupBy(key).agg(F.aggregate(history([order], kind), initial, step).alias("m")).select(key, "m.*")
+        def moved(x: Column) -> Column:
+            target = F.coalesce(F.try_element_at(pairs, F.concat_ws("|", x["state"], row["kind"])), x["state"])
+            return end(target, x["changes"] + (target != x["state"]).cast("long"))
+
+        return F.transform(acc, moved)
+
+    def apply(acc: Column, chunk: Column) -> Column:
+        to = F.element_at(chunk["ends"], F.array_position(F.array(*map(F.lit, states)), acc["state"]).cast("int"))
+        return end(to["state"], acc["changes"] + to["changes"])
+
+    dealt = events.select(F.col(key), F.col(order).alias("_order"), F.col(kind).alias("kind")).repartitionByRange(key, "_order", "kind").sortWithinPartitions(key, "_order", "kind")
+    numbered = dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_chunk", F.shiftright("_at", CHUNK.bit_length() - 1))
+    rows = F.array_sort(F.collect_list(F.struct("_at", "kind")))
+    maps = numbered.groupBy(key, "_chunk").agg(F.aggregate(rows, F.array(*[end(F.lit(s), F.lit(0).cast("long")) for s in states]), step).alias("ends"), F.count("*").alias("n"))
+    chunks = F.array_sort(F.collect_list(F.struct("_chunk", "ends")))
+    return maps.groupBy(key).agg(F.aggregate(chunks, end(F.lit(start), F.lit(0).cast("long")), apply).alias("m"), F.sum("n").alias("handled")).select(key, "m.*", "handled")
 
 
 def event_timeouts(events: DataFrame, key: str, ts: str, order: str, after: str) -> DataFrame:

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.operators.machines import history
-
 
 def failures(probes: DataFrame, node: str, ts: str, order: str, timeout: str) -> DataFrame:
     """A node is suspected at the first nack of a run and dead at suspicion + timeout unless an ack comes before; rows
@@ -22,15 +20,15 @@ def failures(probes: DataFrame, node: str, ts: str, order: str, timeout: str) ->
 
 def incarnations(updates: DataFrame, node: str, order: str) -> DataFrame:
     """State of each node after its updates (state, incarnation) in order: alive needs a higher incarnation, suspect an
-    equal or higher one, dead is final."""
-    start = F.struct(F.lit("alive").alias("state"), F.lit(-1).cast("long").alias("incarnation"))
-
-    def step(acc: Column, u: Column) -> Column:
-        takes = F.when(acc["state"] == "dead", False).when(u["state"] == "alive", u["incarnation"] > acc["incarnation"]).when(u["state"] == "suspect", u["incarnation"] >= acc["incarnation"]).otherwise(True)
-        new = F.struct(u["state"].alias("state"), F.greatest(u["incarnation"], acc["incarnation"]).alias("incarnation"))
-        return F.when(takes, new).otherwise(acc)
-
-    return updates.groupBy(node).agg(F.aggregate(history([order], "state", "incarnation"), start, step).alias("m")).select(node, "m.*")
+    equal or higher one, dead is final. Until death a node's incarnation is the highest that it was told, so what each
+    update meets is a running maximum, and no history meets in one row."""
+    before = Window.partitionBy(node).orderBy(order, "state", "incarnation").rowsBetween(Window.unboundedPreceding, -1)
+    told = updates.withColumn("_held", F.greatest(F.lit(-1).cast("long"), F.max("incarnation").over(before))).withColumn("_dead", F.coalesce(F.bool_or(F.col("state") == "dead").over(before), F.lit(False)))
+    takes = F.when(F.col("_dead"), False).when(F.col("state") == "alive", F.col("incarnation") > F.col("_held")).when(F.col("state") == "suspect", F.col("incarnation") >= F.col("_held")).otherwise(True)
+    last = F.max(F.when(takes, F.struct(F.col(order).alias("o"), F.col("state").alias("state"), F.col("incarnation").alias("i"))))
+    highest = F.greatest(F.lit(-1).cast("long"), F.max(F.when(~F.col("_dead"), F.col("incarnation"))))
+    ended = told.groupBy(node).agg(last.alias("_last"), highest.alias("incarnation"))
+    return ended.select(node, F.when(F.col("_last").isNull(), "alive").otherwise(F.col("_last.state")).alias("state"), "incarnation")
 
 
 def probe_targets(members: DataFrame, own: int, node: str = "node_id") -> DataFrame:

@@ -16,7 +16,7 @@ def pick_worker(workers: DataFrame) -> DataFrame:
 
 def response_average(samples: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Per key, the integer moving average: the first sample, then (3 * sample + 7 * average) div 10 in order. A timed
-    out task counts as a sample of its timeout. A key's samples must fit a row; beyond that use the stateful form."""
+    out task counts as a sample of its timeout. A key's samples must fit a row."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("long").alias("x"))))
     fold = F.aggregate(ordered, F.lit(None).cast("long"), lambda acc, s: F.when(acc.isNull(), s["x"]).otherwise(F.expr("0L") + F.floor((3 * s["x"] + 7 * acc) / 10)))
     return samples.groupBy(key).agg(fold.alias("avg_us"), F.count("*").alias("completed"))

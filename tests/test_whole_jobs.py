@@ -1,11 +1,12 @@
 """Whole jobs: results on all rows, where a query's SQL or a small fixture would not show what is missing."""
 
 import datetime as dt
+import random
 
 import duckdb
 import pytest
 
-from sluice.operators import routing
+from sluice.operators import machines, membership, routing
 from sluice.plans import catalogue
 
 DIR = "/root/testdata/sf0.001"
@@ -47,3 +48,35 @@ def test_unregistered_names_of_every_signup(spark, tmp_path):
     rows = [(1, 1, "signup", 5.0), (2, 1, "signup", 40.0), (3, 2, "signup", 7.0), (50, 2, "signup", 9.0), (4, 3, "signup", 1.0), (5, 4, "view", 2.0), (100, 5, "signup", 6.0), (101, 5, "signup", 31.0)]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     assert catalogue.QUERIES["unregistered_names"](spark, str(tmp_path)).first().names == 2  # 2 and 3; 1 and 5 have entries left
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_machine_of_a_key_with_many_chunks(spark):
+    table = {("off", "go"): "wait", ("wait", "ok"): "on", ("on", "err"): "off", ("wait", "err"): "off"}
+    rng = random.Random(4)
+    rows = [(k, i, rng.choice(["go", "ok", "err", "other", None])) for k, n in (("hot", 20_000), ("a", 3), (None, 9)) for i in range(n)]
+    want = {}
+    for k, _, e in rows:
+        state, changes, handled = want.get(k, ("off", 0, 0))
+        to = table.get((state, e), state)
+        want[k] = to, changes + (to != state), handled + 1
+    rng.shuffle(rows)
+    df = machines.machine(spark.createDataFrame(rows, "k string, o long, e string"), "k", "o", "e", table, "off")
+    assert {r.k: (r.state, r.changes, r.handled) for r in df.collect()} == want
+    assert "rangepartitioning" in plan(df)  # a key's rows are split
+
+
+def test_incarnations_without_a_history_in_one_row(spark):
+    rng = random.Random(5)
+    rows = [(k, i, rng.choice(["alive", "suspect", "left", None] + ["dead"] * (k % 2 and i > 3)), rng.choice([None, -2, -1, 0, 1, 2, 3])) for k in range(300) for i in range(rng.randrange(1, 9))]
+    want = {}
+    for k, _, s, n in rows:
+        state, held = want.get(k, ("alive", -1))
+        takes = state != "dead" and (n is not None and n > held if s == "alive" else n is not None and n >= held if s == "suspect" else True)
+        want[k] = (s, max(held, held if n is None else n)) if takes else (state, held)
+    df = membership.incarnations(spark.createDataFrame(rows, "k long, o long, state string, incarnation long"), "k", "o")
+    assert {r.k: (r.state, r.incarnation) for r in df.collect()} == want
+    assert "collect_list" not in plan(df)
