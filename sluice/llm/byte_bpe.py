@@ -2,16 +2,24 @@
 
 Texts are cut into words by the tokenizer's pattern (Java's regular expressions with Unicode classes). A higher-order
 fold merges a word's byte array: it starts from the bytes' ids, keeps the rank of every adjacent pair, and merges the
-leftmost pair of least rank until no pair has one. A vocabulary has up to 2**19 - 1 ids, a word up to 2**25 bytes. Ranks come from a literal map, dealt into small buckets so that a
-look-up doesn't scan 50,000 entries; it reaches the tasks as the value of a scalar subquery.
+leftmost pair of least rank until no pair has one. A vocabulary has up to 2**19 - 1 ids, a word up to 2**25 bytes. Ranks
+come from a literal map, dealt into small buckets so that a look-up doesn't scan 50,000 entries; it reaches the tasks as
+the value of a scalar subquery.
 
-All words of the corpus are counted; the ``FREQUENT`` commonest distinct words (a fixed number, so what the driver holds
-is bounded) are folded once and join the literal. Of the rest each occurrence is folded where it stands, which needs no
-join and no shuffle of texts. Decoding looks up each id's bytes and concatenates them; it reads the ids alone.
+All words of the corpus are counted and the commonest distinct words are folded once, on the executors; their ids join
+the literal in two forms: ``FREQUENT`` words in maps, which give a word's ids without a copy, and the next up to
+``LISTED`` words as text, half the size. Both are fixed numbers, so what the driver holds is bounded. Of the rest each
+occurrence is folded where it stands: a join would move every text and its rare words through a shuffle of more than
+the folding costs. Decoding looks up each id's bytes and concatenates them; it reads the ids alone.
+
+The fold takes time in proportion to the square of a word's length. Words of more than ``LONG`` bytes are first cut at
+every place that no token of the vocabulary can span (its two bytes are no token and the three bytes around it stand in
+no token), which no merge can ever cross; so unspaced text takes linear time, and only a long run in which tokens may
+overlap everywhere (one letter, repeated) remains quadratic.
 
 Null and empty texts have no ids. The result of a row depends on its text alone; repeated rows are encoded row by row;
-an empty table gives an empty result; further columns are ignored. The fold takes time in proportion to the square of a
-single word's length.
+an empty table gives an empty result; further columns are ignored, whatever their names but ids and decoded, which are
+replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +35,9 @@ from pyspark.sql import functions as F
 
 from sluice.llm.store import released, written
 
-FREQUENT, PAIR_BUCKETS, WORD_BUCKETS = 1 << 17, 1 << 16, 1 << 16
+FREQUENT, LISTED, PAIR_BUCKETS, WORD_BUCKETS, INNER_BITS, LONG = 1 << 17, 1 << 19, 1 << 16, 1 << 16, 20, 48
+#: Signs that open a word and its ids in a bucket's list; words that hold one of them are not listed.
+WORD_SIGN, IDS_SIGN = "\x01", "\x02"
 NONE = (1 << 31) - 1
 MUL = 40503
 #: Widths of a token's id and place in the fold's state, masks of both, and the least state of a token without a pair.
@@ -47,7 +57,8 @@ def bucketed_map(bucket: np.ndarray, keys: pa.Array, items: pa.Array, buckets: i
 
 class Vocabulary:
     """Ranks of byte strings from the lines of a rank file, as one-row tables: bytes (ids of the 256 bytes), merges (for
-    each pair of ids, by bucket, the id they merge to) and pieces (hex digits of each id's bytes)."""
+    each pair of ids, by bucket, the id they merge to), inner (a bit for the hash of every two-byte token and of every
+    three bytes within a token) and pieces (hex digits of each id's bytes)."""
 
     def __init__(self, lines: list[bytes]) -> None:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
@@ -59,12 +70,16 @@ class Vocabulary:
                 if a is not None and b is not None:
                     merges.extend((a, b, rank))
         left, right, merged = np.frombuffer(merges, np.int64).reshape(-1, 3).T
+        within = {t for t in ranks if len(t) == 2} | {t[i : i + 3] for t in ranks for i in range(len(t) - 2)}
+        inner = np.zeros(1 << INNER_BITS, np.uint8)
+        inner[[int.from_bytes(b"\1" + t) * MUL % (1 << INNER_BITS) for t in within]] = 1
         pieces: list[str | None] = [None] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             pieces[rank] = token.hex()
         self.tables = {
             "bytes": pa.array([[ranks[bytes([v])] for v in range(256)]], pa.list_(pa.int32())),
             "merges": bucketed_map((left * MUL + right) % PAIR_BUCKETS, pa.array(left << 20 | right), pa.array(merged.astype(np.int32)), PAIR_BUCKETS),
+            "inner": pa.array([np.packbits(inner, bitorder="little").view(np.int64)], pa.list_(pa.int64())),
         }
         self.pieces = {"pieces": pa.array([pieces], pa.list_(pa.string()))}
 
@@ -106,67 +121,129 @@ def folded(word: Column, t: Column) -> Column:
         """m takes in the token after it, p: index of the token before m."""
         merged = F.shiftright(m, ID_BITS + PLACE_BITS)
         grown = ranked(part(m, PLACES).bitwiseOR(merged), part(F.get(s, p + 3), IDS))
-        return F.transform(F.array_remove(s, F.get(s, p + 2)), lambda x, i: F.when(x == m, grown).when(i == p, ranked(part(x, PLACES | IDS), merged)).otherwise(x))
+        return F.transform(F.array_remove(s, F.get(s, p + 2)), lambda x, i: F.when(i == p + 1, grown).when(i == p, ranked(part(x, PLACES | IDS), merged)).otherwise(x))
 
     def step(s: Column, _: Column) -> Column:
         return bound(F.array_min(s), lambda m: F.when(m >= UNRANKED, s).otherwise(bound((F.array_position(s, m) - 2).cast("int"), lambda p: merge(s, m, p))))
 
     def merged_all(tokens: Column) -> Column:
         start = F.transform(tokens, lambda x, i: ranked(x, part(F.get(tokens, i + 1), IDS)))
-        return F.transform(F.aggregate(F.sequence(F.lit(1), F.size(tokens)), start, step), lambda x: part(x, IDS).cast("int"))
+        return F.transform(F.aggregate(F.slice(tokens, 2, F.size(tokens)), start, step), lambda x: part(x, IDS).cast("int"))
 
-    def of_bytes(digits: Column) -> Column:
-        places = F.sequence(F.lit(0), F.shiftright(F.length(digits), 1) - 1)
-        return F.transform(places, lambda i: F.shiftleft(i.cast("long"), ID_BITS).bitwiseOR(F.get(t["bytes"], F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))))
+    def at(raw: Column, i: Column) -> Column:
+        return F.conv(F.hex(F.substring(raw, i + 1, F.lit(1))), 16, 10).cast("int")
 
-    return bound(F.hex(word), lambda digits: bound(of_bytes(digits), merged_all))
+    def of_bytes(raw: Column) -> Column:
+        return bound(F.transform(F.sequence(F.lit(0), F.length(raw) - 1), lambda i: F.shiftleft(i.cast("long"), ID_BITS).bitwiseOR(F.get(t["bytes"], at(raw, i)))), merged_all)
 
+    def pieces(raw: Column, values: Column) -> Column:
+        """raw, cut where no token can span."""
 
-def frequent_words(docs: DataFrame, vocabulary: Vocabulary, pattern: str, most: int) -> dict[str, pa.Array]:
-    """The commonest words (as many whole counts as make at most ``most`` words) and their ids, by bucket of their hash.
-    The counts of all words stay on the executors; the driver sees how many words have each count, from the top until
-    ``most`` is passed."""
-    spark = docs.sparkSession
-    counts = written(docs.select(F.explode(words(F.col("text"), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
-    least, total = None, 0
-    for n, size in counts.groupBy("n").agg(F.count("*").alias("size")).orderBy(F.desc("n")).limit(most).toLocalIterator():
+        def spanned(i: Column, size: int) -> Column:
+            """Whether the size bytes from byte i on stand in a token; false if they pass the word's ends."""
+            key = F.lit(1).cast("long")
+            for k in range(size):
+                key = F.shiftleft(key, 8) + F.when(i + k >= 0, F.get(values, i + k))
+            bit = F.pmod(key * MUL, F.lit(1 << INNER_BITS)).cast("int")
+            return F.coalesce(F.getbit(F.get(t["inner"], F.shiftright(bit, 6)), bit.bitwiseAND(F.lit(63))) == 1, F.lit(False))
+
+        places = F.filter(F.sequence(F.lit(1), F.length(raw) - 1), lambda i: ~(spanned(i - 1, 2) | spanned(i - 2, 3) | spanned(i - 1, 3)))
+        return bound(places, lambda p: F.zip_with(F.concat(F.array(F.lit(0)), p), F.concat(p, F.array(F.length(raw))), lambda a, b: F.substring(raw, a + 1, b - a)))
+
+    def of_long(raw: Column) -> Column:
+        values = F.transform(F.sequence(F.lit(0), F.length(raw) - 1), lambda i: at(raw, i))
+        return F.flatten(F.transform(bound(values, lambda v: pieces(raw, v)), of_bytes))
+
+    return bound(word.cast("binary"), lambda raw: F.when(F.length(raw) > LONG, of_long(raw)).otherwise(of_bytes(raw)))
+
+
+def thresholds(counts: DataFrame, sizes: list[int]) -> list[int]:
+    """For each size (rising) the least count such that no more than size words have that count or a greater one. The
+    driver sees how many words have each count, from the top until the greatest size is passed."""
+    found, total, least = [], 0, NONE
+    for n, size in counts.groupBy("n").agg(F.count("*").alias("size")).orderBy(F.desc("n")).limit(sizes[-1] + 1).toLocalIterator():
         total += size
-        if total > most:
+        while len(found) < len(sizes) and total > sizes[len(found)]:
+            found.append(least)
+        if len(found) == len(sizes):
             break
         least = n
-    top = counts.where(F.col("n") >= (NONE if least is None else least)).select("word", literal(spark, vocabulary.tables).alias("_t"))
-    bucket = F.pmod(F.xxhash64("word"), F.lit(WORD_BUCKETS)).cast("int")
-    rows = top.select("word", bound(F.col("_t"), lambda t: folded(F.col("word"), t)).alias("ids"), bucket.alias("b")).toArrow().combine_chunks()
-    released(spark, counts)
-    word, ids, b = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in rows.columns)
-    return {"words": bucketed_map(b.to_numpy(), word, ids, WORD_BUCKETS)}
+    return found + [least] * (len(sizes) - len(found))
+
+
+def word_bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(WORD_BUCKETS)).cast("int")
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, frequent: int = FREQUENT) -> DataFrame:
-    """All columns of docs and ids (array of int), the text's token ids."""
+def common_words(docs: DataFrame, vocabulary: Vocabulary, pattern: str, frequent: int, listed: int) -> dict[str, pa.Array]:
+    """The commonest words and their ids, by bucket of their hash: words (maps, of at most frequent words) and lists
+    (texts, of the next ones up to listed words)."""
     spark = docs.sparkSession
-    t = literal(spark, vocabulary.tables | frequent_words(docs, vocabulary, pattern, frequent))
+    counts = written(docs.select(F.explode(words(F.col("text"), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
+    least, low = thresholds(counts, [frequent, listed])
+    top = counts.where(F.col("n") >= min(least, low)).select("word", "n", literal(spark, vocabulary.tables).alias("_t"))
+    known = top.select("word", "n", bound(F.col("_t"), lambda t: folded(F.col("word"), t)).alias("ids"), word_bucket(F.col("word")).alias("b"))
+    known = written(known, "word-ids")
+    word, ids, b = columns_of(known.where(F.col("n") >= least).select("word", "ids", "b"))
+    entry = F.concat(F.lit(WORD_SIGN), "word", F.lit(IDS_SIGN), F.array_join(F.col("ids").cast("array<string>"), ","))
+    plain = ~(F.contains("word", F.lit(WORD_SIGN)) | F.contains("word", F.lit(IDS_SIGN)))
+    rest, at = columns_of(known.where((F.col("n") < least) & plain).groupBy("b").agg(F.array_join(F.collect_list(entry), "").alias("list")).select("list", "b"))
+    released(spark, counts, known)
+    place = np.full(WORD_BUCKETS, -1)
+    place[at.to_numpy()] = np.arange(len(at))
+    lists = rest.take(pa.array(place, mask=place < 0)).fill_null("")
+    return {"words": bucketed_map(b.to_numpy(), word, ids, WORD_BUCKETS), "lists": pa.ListArray.from_arrays(pa.array([0, WORD_BUCKETS], pa.int32()), lists)}
+
+
+def columns_of(df: DataFrame) -> list[pa.Array]:
+    rows = df.toArrow().combine_chunks()
+    return [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in rows.columns]
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, frequent: int = FREQUENT, listed: int = LISTED) -> DataFrame:
+    """All columns of docs and ids (array of int), the text's token ids; an ids of docs is replaced."""
+    spark = docs.sparkSession
+    t = literal(spark, vocabulary.tables | common_words(docs, vocabulary, pattern, frequent, max(frequent, listed)))
 
     def known(w: Column, t: Column) -> Column:
-        return F.try_element_at(F.get(t["words"], F.pmod(F.xxhash64(w), F.lit(WORD_BUCKETS)).cast("int")), w)
+        return F.try_element_at(F.get(t["words"], word_bucket(w)), w)
+
+    def in_list(w: Column, t: Column) -> Column:
+        """The word's ids from its bucket's list: what follows the word there, up to the next word."""
+
+        def found(list_: Column) -> Column:
+            tail = F.call_function("substring_index", list_, F.concat(F.lit(WORD_SIGN), w, F.lit(IDS_SIGN)), F.lit(-1))
+            return F.when(F.octet_length(tail) < F.octet_length(list_), F.split(F.substring_index(tail, WORD_SIGN, 1), ",").cast("array<int>"))
+
+        return bound(F.get(t["lists"], word_bucket(w)), found)
 
-    ids = bound(F.col("_t"), lambda t: F.flatten(F.transform(words(F.col("text"), pattern), lambda w: F.coalesce(known(w, t), folded(w, t)))))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.select(*own, t.alias("_t")).select(*own, ids.alias("ids"))
+    def ids_of(text: Column, t: Column) -> Column:
+        return F.flatten(F.transform(words(text, pattern), lambda w: F.coalesce(known(w, t), in_list(w, t), folded(w, t))))
+
+    return with_literal(docs, t, "ids", lambda row, t: ids_of(row["text"], t))
+
+
+def with_literal(df: DataFrame, t: Column, name: str, value: Callable[[Column, Column], Column]) -> DataFrame:
+    """All columns of df but ``name``, and that one with a value computed from a struct of df's columns and the literal;
+    the struct lets any names stand in df."""
+    named = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), t.alias("t"))
+    row = named["row"]
+    return named.select(*[row[c].alias(c) for c in df.columns if c.lower() != name], bound(named["t"], lambda t: value(row, t)).alias(name))
 
 
 def decode(tokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """All columns of tokens and decoded (binary), the bytes of its ids."""
-    t = literal(tokens.sparkSession, vocabulary.pieces)
-    own = [F.col(f"`{c}`") for c in tokens.columns]
-    joined = bound(F.col("_t"), lambda t: F.array_join(F.transform("ids", lambda i: F.get(t["pieces"], i)), ""))
-    return tokens.select(*own, t.alias("_t")).select(*own, F.unhex(joined).alias("decoded"))
+    """All columns of tokens and decoded (binary), the bytes of its ids; a decoded of tokens is replaced."""
+
+    def joined(row: Column, t: Column) -> Column:
+        return F.unhex(F.array_join(F.transform(row["ids"], lambda i: F.get(t["pieces"], i)), ""))
+
+    return with_literal(tokens, literal(tokens.sparkSession, vocabulary.pieces), "decoded", joined)
 
 
-def report(docs: DataFrame, vocabulary: Vocabulary, pattern: str, frequent: int = FREQUENT) -> DataFrame:
+def report(docs: DataFrame, vocabulary: Vocabulary, pattern: str, frequent: int = FREQUENT, listed: int = LISTED) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens = encode(slim, vocabulary, pattern, frequent).select("doc_id", "ids")
+    tokens = encode(slim, vocabulary, pattern, frequent, listed).select("doc_id", "ids")
     return decode(tokens, vocabulary).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
