@@ -1,25 +1,65 @@
-"""Tables written once to the folder that the cluster shares, to cut lineage or to fix an order."""
+"""Tables written once to the folder that the cluster shares, to cut lineage or to fix an order.
+
+A session's tables lie in one folder of its own; those that a lazy result still reads stay until ``clear``."""
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests.
-DEFAULT_DIR = "/tmp/checkpoints/sluice"
+#: Spark's switch to drop a statement's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_DIR).rstrip("/")
+    """The folder that spark.checkpoint.dir names. Where it is unset and all tasks run on this machine (as in tests), one
+    in the temporary folder; on a cluster an unset folder is an error, since executors don't share local ones."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given.rstrip("/")
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "checkpoints")
+
+
+def session_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/sluice-{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Statements within drop their shuffle files as they end: nothing reads them once the result is written."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once as Parquet and read back: a lost executor costs a re-read, not a recomputation."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables of this session; results that read them are void then."""
+    delete(spark, session_dir(spark))
