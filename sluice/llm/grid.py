@@ -13,8 +13,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 20
-#: Fixed odd multipliers of the rolling hashes; both sides of every comparison use the same ones.
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
+#: Two primes below 2**31 and a base for each hash words (a product of two residues fits 62 bits); a hash modulo a power
+#: of two would give certain pairs of words one value, whatever its base.
+PRIMES = ((2_147_483_629, 1_103_515_249), (2_147_483_587, 1_736_731_266))
+#: Fixed odd multiplier of the rolling hash over word hashes; both sides of every comparison use the same one.
+WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
 M64 = (1 << 64) - 1
 
 WHITE = np.zeros(256, bool)
@@ -27,15 +30,27 @@ for _a, _b in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)):
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_powers: dict[int, np.ndarray] = {}
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
+    """base ** i modulo 2**64 for i below n."""
+    have = _powers.get((base, 0))
     if have is None or len(have) < n:
         grown = np.full(max(n, CHUNK + 1), base, np.uint64)
         grown[0] = 1
-        _powers[base] = have = np.cumprod(grown, dtype=np.uint64)
+        _powers[base, 0] = have = np.cumprod(grown, dtype=np.uint64)
+    return have[:n]
+
+
+def residues(base: int, n: int, prime: int) -> np.ndarray:
+    """base ** i modulo prime for i below n."""
+    have = _powers.get((base, prime))
+    if have is None or len(have) < n:
+        have = np.ones(1, np.int64)
+        while len(have) < max(n, CHUNK + 1):
+            have = np.concatenate([have, have * pow(base, len(have), prime) % prime])
+        _powers[base, prime] = have
     return have[:n]
 
 
@@ -57,6 +72,28 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words buf[start:end], equal for equal words wherever they lie: two polynomials of the bytes
+    and the length, mixed."""
+    out = (ends - starts).astype(np.uint64)
+    total = np.zeros(len(buf) + 1, np.int64)
+    for prime, base in PRIMES:
+        term = (buf.astype(np.int64) + 1) * residues(base, len(buf), prime)  # below 2**39: sums of 2**24 fit
+        if len(buf) < 1 << 24:
+            np.cumsum(term, out=total[1:])
+        else:
+            carry = 0
+            for at in range(0, len(buf), 1 << 24):
+                part = np.cumsum(term[at : at + (1 << 24)]) + carry
+                carry = int(part[-1] % prime)
+                total[at + 1 : at + 1 + len(part)] = part
+                total[at + len(part)] = carry
+        down = residues(pow(base, -1, prime), len(buf) + 1, prime)
+        value = (total[ends] - total[starts]) % prime * down[starts] % prime
+        out = mix(out * np.uint64(WORD_BASE) + value.astype(np.uint64))
+    return out
+
+
 class Grid:
     """``buf`` bytes of the texts, each closed by a line feed; word i is buf[starts[i]:ends[i]]; document d owns words
     first[d] to first[d + 1] and begins at byte ``at[d]``."""
@@ -78,7 +115,7 @@ class Grid:
     @property
     def hashes(self) -> np.ndarray:
         if self._hashes is None:
-            self._hashes = range_hashes(self.buf.astype(np.uint64) + np.uint64(1), self.starts, self.ends, BYTE_BASE)
+            self._hashes = word_hashes(self.buf, self.starts, self.ends)
         return self._hashes
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:

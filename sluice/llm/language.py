@@ -7,8 +7,11 @@ text. A document's language is the one it opens in, if the spans of that one hol
 quoted passage may be longer than what surrounds it), else the one whose spans hold most; its score is their share.
 
 The model is fitted on at most ``per_language`` whole documents of each language, the ones of least hash among those
-that are not held out; everything else sees every row and whole texts. Prediction is a map with no shuffle: only the
-model (a few MB, independent of the corpus) is sent to the tasks.
+that are not held out (of several texts of one doc_id the least); everything else sees every row and whole texts. They
+are cut by a bound on the hash that follows from the language's count, and only what passes it is ranked. Prediction is
+a map with no shuffle: only the model (a few MB, independent of the corpus) is sent to the tasks. A word's n-grams end
+with it and scores are whole numbers, so a prediction depends on the text and the model alone, whatever rows stand
+beside it. ``OPENING`` was chosen on training rows only.
 
 Null texts and texts without a letter are ``und`` with score 0 and no spans; without any training row every text is
 ``und``. Words of a script that no language uses carry no evidence. Repeated rows are predicted row by row; an empty
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from sluice.llm.grid import LOWER, Grid, grids, sliced
 
 ORDERS, BITS = (2, 3, 4), 16
+#: Log scores are whole multiples of 2**-POINT.
+POINT = 20
 SWITCH, OPENING = 12.0, 0.25
 LETTER = np.zeros(256, bool)
 for _a, _b in ((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)):
@@ -94,23 +99,23 @@ class Model:
         order = sorted(range(len(names)), key=lambda i: (-words[i], names[i]))
         self.languages = [names[i] for i in order]
         smooth = {n: np.log((c[:, order] + 0.1) / (c[:, order].sum(0) + 0.1 * (1 << BITS))) for n, c in counts.items()}
-        self.log = {n: np.vstack([x, np.zeros(len(names))]).astype(np.float32) for n, x in smooth.items()}  # and a row of no evidence
+        whole = {n: np.rint(x * (1 << POINT)).astype(np.int32) for n, x in smooth.items()}
+        self.log = {n: np.vstack([x, np.zeros(len(names), np.int32)]) for n, x in whole.items()}  # and a row of no evidence
         self.allowed = (seen[:, order] >= 0.005 * np.maximum(words[order], 1)) & (seen[:, order] > 0)
 
     def word_scores(self, grid: Grid) -> np.ndarray:
         """Log score of every word under every language, averaged over the n-gram orders."""
         raw = folded(grid)
-        each = np.zeros((len(raw), len(self.languages)), np.float32)
+        each = np.zeros((len(raw), len(self.languages)), np.int32)
         for n in ORDERS:
             bucket = buckets(raw, n)
             for k in range(n - 2):  # n-grams that would pass the space after the word count nothing
                 at = grid.ends - k
-                bucket[at[at > grid.starts]] = 1 << BITS
+                bucket[at[at >= grid.starts]] = 1 << BITS
             each += self.log[n][bucket]
-        total = np.zeros((len(raw) + 1, len(self.languages)))
-        np.cumsum(each, axis=0, dtype=np.float64, out=total[1:])
-        scores = total[grid.ends + 1] - total[grid.starts]
-        scores /= len(ORDERS)
+        total = np.zeros((len(raw) + 1, len(self.languages)), np.int64)
+        np.cumsum(each, axis=0, dtype=np.int64, out=total[1:])
+        scores = (total[grid.ends + 1] - total[grid.starts]) / float(len(ORDERS) << POINT)
         fits = self.allowed[scripts(grid)]
         known = fits.any(1)
         scores[~known] = 0
@@ -119,9 +124,9 @@ class Model:
 
 
 def word_places(grid: Grid, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all n-grams of the words in the folded bytes (a word's own space before and after it included; at least
-    one each), and the number of each word."""
-    size = np.maximum(grid.ends - grid.starts + 3 - n, 1)
+    """Places of all n-grams of the words in the folded bytes (a word's own space before and after it included), and the
+    number of each word."""
+    size = np.maximum(grid.ends - grid.starts + 3 - n, 0)
     offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     return np.repeat(grid.starts, size) + offset, size
 
@@ -165,19 +170,29 @@ def held_out() -> F.Column:
 def fit(docs: DataFrame, per_language: int = 400) -> Model | None:
     """A model from at most per_language documents of each language among the rows of docs with text and lang."""
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    size = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
+    share = (3.5 * per_language + 100) / F.greatest("n", F.lit(1))  # fewer than per_language pass with a probability of less than 1e-20
+    near = rows.join(F.broadcast(size), "lang").where((share >= 1) | (F.col("h") / float(1 << 64) + 0.5 < share)).select("doc_id", "lang", "h").distinct()
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
-    sample = docs.where("text IS NOT NULL").select("doc_id", "lang", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").toArrow()
+    chosen = near.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language).select("doc_id", "lang")
+    texts = docs.where("text IS NOT NULL").select("doc_id", "lang", F.col("text").cast("binary").alias("text"))
+    own = [F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("doc_id", "lang")]
+    sample = texts.alias("d").join(F.broadcast(chosen).alias("c"), own, "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toArrow()
     if not sample.num_rows:
         return None
     return Model(sample.column("text").to_pylist(), sample.column("lang").to_pylist())
 
 
-def label_languages(docs: DataFrame, model: Model | None, penalty: float = SWITCH) -> DataFrame:
-    """All columns of docs and, per row, _lang, _score and _spans (code points, end exclusive, and language of each run
-    of words with one label)."""
+RESULTS = ("_lang", "_score", "_spans")
+
+
+def label_languages(docs: DataFrame, model: Model | None, penalty: float = SWITCH, names: tuple[str, str, str] = RESULTS) -> DataFrame:
+    """All columns of docs but ``names`` and, per row under these, the language, its score and the spans (code points, end
+    exclusive, and language of each run of words with one label)."""
     kind = "array<struct<start:int,end:int,lang:string>>"
-    schema = docs.select("*", F.lit("").alias("_lang"), F.lit(0.0).alias("_score"), F.array().cast(kind).alias("_spans")).schema
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in names])
+    fresh = zip(("", 0.0, F.array().cast(kind)), names, strict=True)
+    schema = docs.select("*", *[(v if isinstance(v, F.Column) else F.lit(v)).alias(n) for v, n in fresh]).schema
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +208,7 @@ def label_languages(docs: DataFrame, model: Model | None, penalty: float = SWITC
                     spans.append(found)
             arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
             columns = [batch.column(k) for k in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, arrow)], names=[*batch.schema.names, "_lang", "_score", "_spans"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, arrow)], names=[*batch.schema.names, *names])
 
     docs_columns = docs.columns
     return docs.mapInArrow(labelled, schema)

@@ -7,11 +7,15 @@ in numpy. At scoring the softmax weights are multiplied into the table once, so
 number per feature: the same value, with one gather per feature.
 
 Training uses at most ``per_class`` whole documents of each class, those of least hash among labelled rows that are not
-held out; that bound is all the driver ever holds. Scoring is a map over whole texts with no shuffle.
+held out; that bound is all the driver ever holds. They are cut by a bound on the hash that follows from the class's
+count, and only what passes it (some times per_class) is ranked. Scoring is a map over whole texts with no shuffle. A
+text's features end at its own last byte and weights are summed as whole numbers, so its score depends on the text and
+the model alone, whatever rows stand beside it.
 
 Null and empty texts score the model's bias (0.5 when nothing could be trained, as with no labels or a single class
-label only). Labels other than 0 and 1 are ignored; of several labels of a document the smallest counts. Repeated rows
-are scored row by row; an empty table gives an empty result; further columns are ignored.
+label only). Labels other than 0 and 1 are ignored; of several labels of a document the smallest counts, of several
+texts of a labelled doc_id the least. Repeated rows are scored row by row; an empty table gives an empty result; further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from pyspark.sql import functions as F
 from sluice.llm.grid import NOT_SPACE, Grid, grids, mix, sliced
 
 BITS, ORDERS = 18, (2, 3)
+#: Weights are whole multiples of 2**-POINT.
+POINT = 24
 
 
 def features(grid: Grid) -> list[np.ndarray]:
@@ -47,25 +53,38 @@ def features(grid: Grid) -> list[np.ndarray]:
     return out
 
 
+def grams(grid: Grid, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place (exclusive) of the n-grams of each document: they lie in its text and the byte that closes it."""
+    return grid.at[:-1], np.maximum(grid.at[1:] - n + 1, grid.at[:-1])
+
+
 class Classifier:
-    """The folded model: one number per bucket, and the bias."""
+    """The folded model: one number per bucket (in steps of 2**-POINT), and the bias."""
 
     def __init__(self, weight: np.ndarray, bias: float) -> None:
-        self.weight, self.bias = weight.astype(np.float32), float(bias)
+        self.weight, self.bias = np.rint(weight.astype(np.float64) * (1 << POINT)).astype(np.int64), float(bias)
 
     def logits(self, grid: Grid) -> np.ndarray:
-        """One per document; n-grams may not begin at the byte that closes a text."""
-        count = 2.0 * np.diff(grid.first)
+        """One per document."""
         words, pairs, *chars = features(grid)
-        total = np.zeros(len(words) + 1)
-        np.cumsum(self.weight[words] + self.weight[pairs], dtype=np.float64, out=total[1:])
-        logit = total[grid.first[1:]] - total[grid.first[:-1]]
-        for bucket in chars:
-            total = np.zeros(len(bucket) + 1)
-            np.cumsum(self.weight[bucket], dtype=np.float64, out=total[1:])
-            logit += total[grid.at[1:] - 1] - total[grid.at[:-1]]
-            count += grid.at[1:] - 1 - grid.at[:-1]
-        return logit / np.maximum(count, 1) + self.bias
+        sums, count = np.zeros(len(grid.at) - 1, np.int64), 2 * np.diff(grid.first)
+        places = [(self.weight[words] + self.weight[pairs], grid.first[:-1], grid.first[1:])]
+        for n, bucket in zip(ORDERS, chars, strict=True):
+            begin, end = grams(grid, n)
+            places.append((self.weight[bucket], begin, end))
+            count += end - begin
+        for values, begin, end in places:
+            total = np.zeros(len(values) + 1, np.int64)
+            np.cumsum(values, out=total[1:])
+            sums += total[end] - total[begin]
+        return sums / (np.maximum(count, 1) * float(1 << POINT)) + self.bias
+
+
+def own_features(grid: Grid, d: int, found: list[np.ndarray]) -> np.ndarray:
+    """All buckets of document d, from features()."""
+    words, pairs, *chars = found
+    a, b = grid.first[d], grid.first[d + 1]
+    return np.concatenate([words[a:b], pairs[a:b], *(c[begin[d] : end[d]] for c, (begin, end) in zip(chars, (grams(grid, n) for n in ORDERS), strict=True))])
 
 
 def train(texts: list[bytes], labels: list[int], dim: int = 12, epochs: int = 8, rate: float = 2.0, seed: int = 7) -> Classifier:
@@ -77,10 +96,9 @@ def train(texts: list[bytes], labels: list[int], dim: int = 12, epochs: int = 8,
     out, bias = np.zeros((2, dim)), np.zeros(2)
     bags, targets = [], []
     for keys, grid in grids([(labels, texts)], NOT_SPACE):
-        words, pairs, *chars = features(grid)
+        found = features(grid)
         for d, label in enumerate(keys):
-            own = [words[grid.first[d] : grid.first[d + 1]], pairs[grid.first[d] : grid.first[d + 1]], *(c[grid.at[d] : grid.at[d + 1] - 1] for c in chars)]
-            at, count = np.unique(np.concatenate(own), return_counts=True)
+            at, count = np.unique(own_features(grid, d, found), return_counts=True)
             if len(at):
                 bags.append((at, (count / count.sum()).astype(np.float32)))
                 targets.append(label)
@@ -108,14 +126,25 @@ def held_out() -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, label: str = "quality") -> Classifier:
-    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("label"))
+    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("label")).where(~held_out())
+    size = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    near = F.lit(False)
+    for value, n in size.items():
+        near |= (F.col("label") == value) & below("doc_id", per_class, n)
     first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.where(~held_out()).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_class).select("doc_id", "label")
+    chosen = rows.where(near).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_class).select("doc_id", "label")
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    sample = texts.join(F.broadcast(chosen), "doc_id").toArrow().sort_by("doc_id")
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).toArrow().sort_by("doc_id")
     return train(sample.column("text").to_pylist(), sample.column("label").to_pylist())
 
 
+def below(key: str, most: int, n: int) -> F.Column:
+    """Whether key's hash is among the lowest part of n keys that holds most of them with room to spare (a few times as
+    many, so that fewer pass with a probability of less than 1e-20)."""
+    share = (3 * most + 100) / max(n, 1)
+    return F.lit(True) if share >= 1 else F.xxhash64(key) < F.lit(int(-(1 << 63) + share * (1 << 64)))
+
+
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
     """Per row of docs: doc_id and score, the probability of label 1."""
     held = docs.sparkSession.sparkContext.broadcast(model)

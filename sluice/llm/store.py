@@ -1,14 +1,18 @@
-"""Tables that cut lineage, in the folder that the cluster shares."""
+"""Tables that cut lineage, in the folder that the cluster shares, and helpers for column names and hot keys."""
 
 from __future__ import annotations
 
-import gc
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sluice.sources import shared
 from sluice.sources.shared import fresh_path
 
+#: At most so many keys can have more than one part in HOT_KEYS of all rows.
+HOT_KEYS = 5_000
+
 
 def n_buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -26,18 +30,40 @@ def written(df: DataFrame, name: str, bucketed_by: str | None = None) -> DataFra
         return shared.written(df, name)
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    table = path.rsplit("/", 1)[1].replace("-", "_")
-    df.write.bucketBy(n_buckets(spark), bucketed_by).option("path", path).format("parquet").saveAsTable(table)
-    return spark.table(table)
+    with shared.shuffles_dropped(spark):
+        df.write.bucketBy(n_buckets(spark), bucketed_by).option("path", path).format("parquet").saveAsTable(table_name(path))
+    return spark.table(table_name(path))
+
+
+def table_name(path: str) -> str:
+    return path.rsplit("/", 1)[1].replace("-", "_")
 
 
 def released(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete intermediate tables that nothing will read again, and let Spark's cleaner drop the shuffle files of plans
-    that are no longer referenced (it acts when the driver collects garbage)."""
-    gc.collect()
-    jvm = spark.sparkContext._jvm
-    jvm.System.gc()
+    """Delete written tables that nothing will read again, and their catalogue entries where they are bucketed."""
     for df in tables:
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            spark.sql(f"DROP TABLE IF EXISTS `{table_name(path)}`")
+            shared.delete(spark, path)
+
+
+def free_names(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it unlike all of taken (names don't differ by case)."""
+    out, used = [], {t.lower() for t in taken}
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def joined_by_key(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows with the columns of facts (one row a key; ``count`` says how many rows have the key), as a left join. Keys of
+    more than one part in HOT_KEYS of total rows are at most HOT_KEYS, so their facts are broadcast and such a key's rows
+    stay where they are, as do rows without a key; all other rows meet their facts in a shuffle."""
+    is_hot = F.col(count) > total / HOT_KEYS
+    hot = F.broadcast(facts.where(is_hot).drop(count))
+    keyed = rows.where(F.col(key).isNotNull())
+    cold = keyed.join(hot.select(key), key, "left_anti").join(facts.where(~is_hot).drop(count), key, "left")
+    return keyed.join(hot, key).unionByName(cold).unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
