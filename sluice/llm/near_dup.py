@@ -12,11 +12,14 @@ document, so that a pair of similarity 0.75 shares none of them with a probabili
    across components is compared in the same way, in blocks of bounded size, and the new pairs joined in.
 
 Copies are thus linked through their class, a large bucket costs two proposals a member, and only members that no
-proposal has linked meet all others. Hot buckets are dealt over tasks by block.
-
-Documents without words or text are linked with nothing and stand alone. A null doc_id is never a component id: its row
-gets its class's component. Rows that share a doc_id are one node. Repeated rows, ties and an empty table need no
-special case; further columns are ignored.
+proposal has linked meet all others. Hot buckets are dealt over tasks by block, and the full sets that one task holds at
+once by their size (``HELD``). Facts of hot classes, buckets and components are broadcast (see store.joined_by_key).
+
+Shingles are compared by 64-bit hashes of words hashed modulo two primes. Documents without words or text are linked
+with nothing and stand alone. A null doc_id is never a component id: its row gets its class's component; deduplicated()
+treats rows without id as documents of their own, by text, that any document with an id precedes. Rows that share a
+doc_id are one node. Long texts are read in pieces of one text at least. Repeated rows, ties and an empty table need no
+special case; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,12 +34,16 @@ from pyspark.sql import functions as F
 
 from sluice.llm.components import components
 from sluice.llm.grid import LOWER, NOT_SPACE, Grid, grids, mix, range_hashes, sliced
-from sluice.llm.store import released, written
+from sluice.llm.store import free_names, joined_by_key, released, written
 
 SHINGLE, NUM, DEN = 5, 75, 100
 FUNCTIONS, BAND = 192, 6
 BITS_OFF = 83  # of 384 one-bit values; 48 are expected at the threshold, the standard deviation is 6.5
 BLOCK = 4096
+#: Shingles in the sets that a task compares at once (8 bytes each).
+HELD = 4_000_000
+#: Stand-in ids of rows without one, above all others.
+NO_ID = 1 << 62
 _rng = np.random.default_rng(20)
 MUL = _rng.integers(1, 1 << 63, FUNCTIONS, dtype=np.uint64) | np.uint64(1)
 ADD = _rng.integers(0, 1 << 63, FUNCTIONS, dtype=np.uint64)
@@ -151,8 +158,9 @@ def off(x: str, y: str) -> F.Column:
 
 def proposals(members: DataFrame, about: DataFrame) -> DataFrame:
     """Pairs of each bucket's members with its least and greatest id that the sketch does not rule out."""
-    ends = members.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    pairs = members.join(ends, "bucket").select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*").where("a <> b").distinct()
+    ends = written(members.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("k")), "ends")
+    met = joined_by_key(members, ends, "bucket", "k", members.count())
+    pairs = met.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*").where("a <> b").distinct()
     x = about.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     y = about.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     sized = F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM
@@ -168,13 +176,47 @@ def lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([NOBODY, *parts])))
 
 
+def cells_of(found: list[tuple[int, int, np.ndarray]], size: dict[int, int], name: str) -> Iterator[tuple[str, list[int], list[np.ndarray]]]:
+    """Deals (id, set size, partners) to cells whose sets have about HELD shingles at most, or are those of two ids; a
+    cell has its ids and, for each of them, the partners it is compared with."""
+    held: dict[int, list[np.ndarray]] = {}
+    total = part = 0
+
+    def closed() -> tuple[str, list[int], list[np.ndarray]]:
+        ids = sorted(held)
+        return f"{name}/{part}", ids, [np.concatenate([NOBODY, *held[i]]) for i in ids]
+
+    for i, n, partners in found:
+        sizes = np.cumsum([size[p] for p in partners.tolist()])
+        at = 0
+        while at < len(partners):
+            room = HELD - total - (n if i not in held else 0)
+            stop = int(np.searchsorted(sizes, room + (sizes[at - 1] if at else 0), side="right"))
+            if stop <= at and held:
+                yield closed()
+                held, total, part = {}, 0, part + 1
+                continue
+            stop = max(stop, at + 1)
+            total += n if i not in held else 0
+            held.setdefault(i, []).append(partners[at:stop])
+            for p in partners[at:stop].tolist():
+                if p not in held:
+                    held[p] = []
+                    total += size[p]
+            at = stop
+    if held:
+        yield closed()
+
+
 def leftovers(members: DataFrame, about: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (cell, id, root, partners) of the buckets that hold several components: partners are the members of other
-    components that the sketch leaves possible. A cell is a block of the bucket's outsiders (those not in the component
-    of its least id) against a block of all its members; every pair across components has at least one outsider."""
+    """Rows (cell, id, partners) of the buckets that hold several components: partners are the members of other
+    components that the sketch leaves possible. A block of the bucket's outsiders (those not in the component of its
+    least id) meets a block of all its members; every pair across components has at least one outsider. What a pair of
+    blocks leaves is dealt to cells of bounded size."""
     placed = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     low = placed.groupBy("bucket").agg(F.min_by("root", "id").alias("home"), F.count("*").alias("k"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    mixed = placed.join(low.where("r0 <> r1 AND k > 2").select("bucket", "home", "k"), "bucket").join(about, "id")
+    low = written(low.where("r0 <> r1 AND k > 2").select("bucket", "home", "k", F.col("k").alias("n_rows")), "mixed")
+    mixed = joined_by_key(placed, low, "bucket", "n_rows", members.count()).where("home IS NOT NULL").join(about, "id")
     outsider = F.col("root") != F.col("home")
     parts = F.ceil(F.col("k") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
@@ -187,17 +229,16 @@ def leftovers(members: DataFrame, about: DataFrame, roots: DataFrame) -> DataFra
         ids, root, n = (rows.column(c).to_numpy() for c in ("id", "root", "n"))
         bits = np.array(rows.column("sketch").to_pylist(), np.int64).reshape(len(ids), -1).view(np.uint64)
         o, m = np.flatnonzero(outside), np.flatnonzero(~outside)
-        found: dict[int, np.ndarray] = {}
-        met: set[int] = set()
+        found: list[tuple[int, int, np.ndarray]] = []
         for x in o.tolist():
             near = (root[m] != root[x]) & (DEN * np.minimum(n[m], n[x]) >= NUM * np.maximum(n[m], n[x]))
             near[near] = np.bitwise_count(bits[m[near]] ^ bits[x]).sum(1) <= BITS_OFF
             if near.any():
-                found[int(ids[x])] = ids[m[near]]
-                met.update(ids[m[near]].tolist())
-        who = sorted(met | set(found))
-        cell = "/".join(str(k.as_py()) for k in key)
-        return pa.table({"cell": pa.array([cell] * len(who), pa.string()), "id": pa.array(who, pa.int64()), "partners": lists([found.get(i, NOBODY) for i in who])})
+                found.append((int(ids[x]), int(n[x]), ids[m[near]]))
+        name = "/".join(str(k.as_py()) for k in key)
+        cells = list(cells_of(found, dict(zip(ids.tolist(), n.tolist(), strict=True)), name))
+        who = [i for _, ids, _ in cells for i in ids]
+        return pa.table({"cell": pa.array([c for c, ids, _ in cells for _ in ids], pa.string()), "id": pa.array(who, pa.int64()), "partners": lists([p for _, _, ps in cells for p in ps])})
 
     return as_member.unionByName(as_outsider).groupBy("bucket", "i", "j").applyInArrow(partners, "cell string, id long, partners array<long>")
 
@@ -216,8 +257,9 @@ def confirmed_cells(cells: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the least doc_id reachable over links) and kept."""
+    spark = docs.sparkSession
     about = written(describe(docs), "minmax")
-    classes = about.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep"))
+    classes = about.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k"))
     standing = about.where("bands IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min_by(F.struct(F.col("doc_id").alias("id"), "n", "bands", "sketch"), "doc_id").alias("s")).select("s.*")
     standing = written(standing, "standing")
     banded = standing.select("id", F.explode("bands").alias("bucket"))
@@ -228,15 +270,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = written(confirmed(proposals(members, short), sets), "links")
     first = components(links)
     more = written(confirmed_cells(leftovers(members, short, first), sets), "links")
-    released(docs.sparkSession, standing, members, sets, first)
-    roots = components(links.unionByName(more)).select(F.col("id").alias("rep"), "root")
-    placed = classes.join(roots, "rep", "left").select("class", F.coalesce("root", "rep").alias("component_id"))
-    out = about.select("doc_id", F.col("n").alias("n_shingles"), "class").join(placed, "class", "left")
+    released(spark, standing, members, sets, first)
+    every = written(links.unionByName(more), "links")
+    released(spark, links, more)
+    roots = components(every)
+    placed = written(classes.join(roots, F.col("rep") == F.col("id"), "left").select("class", F.coalesce("root", "rep").alias("component_id"), "k"), "placed")
+    out = joined_by_key(about.select("doc_id", F.col("n").alias("n_shingles"), "class"), placed, "class", "k", about.count())
+    released(spark, every, roots)
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs without the documents that are not kept; columns as given."""
-    gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the documents that are not kept; columns as given. Of rows without id and of one text with words one
+    stays, if no document with an id (or other such text) is kept for it."""
+    (stand_in,) = free_names(docs.columns, "node")
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    node = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(1 << 61)))
+    nodes = docs.select("*", node.alias(stand_in))
+    gone = near_duplicates(nodes.select(F.col(stand_in).alias("doc_id"), "text")).where("NOT kept").select(F.col("doc_id").alias(stand_in)).distinct()
+    kept = nodes.join(gone, stand_in, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    anonymous = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return kept.where(~anonymous).unionByName(kept.where(anonymous).dropDuplicates(["text"]))

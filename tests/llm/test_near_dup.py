@@ -76,3 +76,37 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 150), (150, 200)]
     got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 30)} | {200: 150}
+
+
+def test_one_row_stays_of_copies_without_id(spark):
+    a, b = "a b c d e f g h i j k l m", "n o p q r s t u v w"
+    rows = [(None, a, 1), (None, a, 1), (None, a.upper(), 2), (4, b, 3), (None, b, 4), (None, b.upper(), 5), (None, None, 6), (None, None, 7), (None, " ", 8), (3, None, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node int")
+    kept = [tuple(r) for r in N.deduplicated(df).collect()]
+    assert sorted((t, n) for i, t, n in kept if t and t.strip()) in ([(a, 1), (b, 3)], [(a.upper(), 2), (b, 3)])
+    assert sorted(n for _, t, n in kept if not t or not t.strip()) == [6, 7, 8, 9]
+
+
+def test_cells_hold_a_bounded_number_of_shingles_and_lose_no_pair(monkeypatch):
+    monkeypatch.setattr(N, "HELD", 50)
+    rng = random.Random(6)
+    size = {i: rng.randint(1, 30) for i in range(60)}
+    found = [(i, size[i], N.np.array(sorted(rng.sample(range(60), rng.randint(1, 40))), N.np.int64)) for i in rng.sample(range(60), 40)]
+    cells = list(N.cells_of(found, size, "x"))
+    assert len({name for name, _, _ in cells}) == len(cells) > 5
+    pairs = [(i, p) for _, ids, ps in cells for i, own in zip(ids, ps, strict=True) for p in own.tolist()]
+    assert sorted(pairs) == sorted((i, p) for i, _, own in found for p in own.tolist())
+    for _, ids, ps in cells:
+        assert set(ids) >= {p for own in ps for p in own.tolist()}
+        assert sum(size[i] for i in ids) <= 50 or len(ids) == 2
+
+
+def test_hot_keys_join_their_facts(spark, monkeypatch):
+    from sluice.llm import store
+
+    monkeypatch.setattr(store, "HOT_KEYS", 3)
+    rows = spark.createDataFrame([("hot", i) for i in range(70)] + [(None, 1000), (None, 1001)] + [(f"k{i}", 100 + i) for i in range(20)], "k string, v long")
+    facts = spark.createDataFrame([("hot", 1, 70)] + [(f"k{i}", 10 + i, 1) for i in range(15)], "k string, x long, n long")
+    got = {r.v: (r.k, r.x) for r in store.joined_by_key(rows, facts, "k", "n", 92).collect()}
+    assert got == {i: ("hot", 1) for i in range(70)} | {1000: (None, None), 1001: (None, None)} | {100 + i: (f"k{i}", 10 + i if i < 15 else None) for i in range(20)}
+    assert store.free_names(["Text", "_text"], "text", "other") == ["__text", "other"]
