@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from sluice.llm.store import released, written
 
 FREQUENT, LISTED, PAIR_BUCKETS, WORD_BUCKETS, INNER_BITS, LONG = 1 << 17, 1 << 19, 1 << 16, 1 << 16, 20, 48
+TABLES = ["bytes", "merges", "inner"]
 #: Signs that open a word and its ids in a bucket's list; words that hold one of them are not listed.
 WORD_SIGN, IDS_SIGN = "\x01", "\x02"
 NONE = (1 << 31) - 1
@@ -100,12 +101,19 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def fields_bound(t: Column, names: list[str], body: Callable[..., Column]) -> Column:
+    """body of the named fields of a struct, each taken out once."""
+    if not names:
+        return body()
+    return bound(t[names[0]], lambda first: fields_bound(t, names[1:], lambda *rest: body(first, *rest)))
+
+
 def words(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?U){pattern}"), F.lit(0))
 
 
-def folded(word: Column, t: Column) -> Column:
-    """Ids of one word by ranked merges. The fold's state has one number for each token: the rank of its pair with the
+def folded(word: Column, single: Column, merges: Column, inner: Column) -> Column:
+    """Ids of one word by ranked merges (with a vocabulary's tables). The fold's state has one number for each token: the rank of its pair with the
     next one, the place of its first byte, its id; so the least number is the leftmost pair of least rank."""
 
     def part(x: Column, mask: int) -> Column:
@@ -114,7 +122,7 @@ def folded(word: Column, t: Column) -> Column:
     def ranked(token: Column, after: Column) -> Column:
         """token (place and id) with the rank of its pair with the id after it; none if there is no such id."""
         a = part(token, IDS)
-        merged = F.try_element_at(F.get(t["merges"], F.pmod(a * MUL + after, F.lit(PAIR_BUCKETS)).cast("int")), F.shiftleft(a, 20) + after)
+        merged = F.get(merges, (a * MUL + after).bitwiseAND(F.lit(PAIR_BUCKETS - 1)).cast("int"))[F.shiftleft(a, 20) + after]
         return F.shiftleft(F.coalesce(merged.cast("long"), F.lit(IDS)), ID_BITS + PLACE_BITS).bitwiseOR(token)
 
     def merge(s: Column, m: Column, p: Column) -> Column:
@@ -134,7 +142,7 @@ def folded(word: Column, t: Column) -> Column:
         return F.conv(F.hex(F.substring(raw, i + 1, F.lit(1))), 16, 10).cast("int")
 
     def of_bytes(raw: Column) -> Column:
-        return bound(F.transform(F.sequence(F.lit(0), F.length(raw) - 1), lambda i: F.shiftleft(i.cast("long"), ID_BITS).bitwiseOR(F.get(t["bytes"], at(raw, i)))), merged_all)
+        return bound(F.transform(F.sequence(F.lit(0), F.length(raw) - 1), lambda i: F.shiftleft(i.cast("long"), ID_BITS).bitwiseOR(F.get(single, at(raw, i)))), merged_all)
 
     def pieces(raw: Column, values: Column) -> Column:
         """raw, cut where no token can span."""
@@ -145,7 +153,7 @@ def folded(word: Column, t: Column) -> Column:
             for k in range(size):
                 key = F.shiftleft(key, 8) + F.when(i + k >= 0, F.get(values, i + k))
             bit = F.pmod(key * MUL, F.lit(1 << INNER_BITS)).cast("int")
-            return F.coalesce(F.getbit(F.get(t["inner"], F.shiftright(bit, 6)), bit.bitwiseAND(F.lit(63))) == 1, F.lit(False))
+            return F.coalesce(F.getbit(F.get(inner, F.shiftright(bit, 6)), bit.bitwiseAND(F.lit(63))) == 1, F.lit(False))
 
         places = F.filter(F.sequence(F.lit(1), F.length(raw) - 1), lambda i: ~(spanned(i - 1, 2) | spanned(i - 2, 3) | spanned(i - 1, 3)))
         return bound(places, lambda p: F.zip_with(F.concat(F.array(F.lit(0)), p), F.concat(p, F.array(F.length(raw))), lambda a, b: F.substring(raw, a + 1, b - a)))
@@ -172,7 +180,7 @@ def thresholds(counts: DataFrame, sizes: list[int]) -> list[int]:
 
 
 def word_bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(WORD_BUCKETS)).cast("int")
+    return F.hash(word).bitwiseAND(F.lit(WORD_BUCKETS - 1))
 
 
 def common_words(docs: DataFrame, vocabulary: Vocabulary, pattern: str, frequent: int, listed: int) -> dict[str, pa.Array]:
@@ -182,7 +190,7 @@ def common_words(docs: DataFrame, vocabulary: Vocabulary, pattern: str, frequent
     counts = written(docs.select(F.explode(words(F.col("text"), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
     least, low = thresholds(counts, [frequent, listed])
     top = counts.where(F.col("n") >= min(least, low)).select("word", "n", literal(spark, vocabulary.tables).alias("_t"))
-    known = top.select("word", "n", bound(F.col("_t"), lambda t: folded(F.col("word"), t)).alias("ids"), word_bucket(F.col("word")).alias("b"))
+    known = top.select("word", "n", bound(F.col("_t"), lambda t: fields_bound(t, TABLES, lambda *tables: folded(F.col("word"), *tables))).alias("ids"), word_bucket(F.col("word")).alias("b"))
     known = written(known, "word-ids")
     word, ids, b = columns_of(known.where(F.col("n") >= least).select("word", "ids", "b"))
     entry = F.concat(F.lit(WORD_SIGN), "word", F.lit(IDS_SIGN), F.array_join(F.col("ids").cast("array<string>"), ","))
@@ -205,22 +213,19 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, frequent: int
     spark = docs.sparkSession
     t = literal(spark, vocabulary.tables | common_words(docs, vocabulary, pattern, frequent, max(frequent, listed)))
 
-    def known(w: Column, t: Column) -> Column:
-        return F.try_element_at(F.get(t["words"], word_bucket(w)), w)
-
-    def in_list(w: Column, t: Column) -> Column:
+    def in_list(w: Column, list_: Column) -> Column:
         """The word's ids from its bucket's list: what follows the word there, up to the next word."""
+        tail = F.call_function("substring_index", list_, F.concat(F.lit(WORD_SIGN), w, F.lit(IDS_SIGN)), F.lit(-1))
+        found = lambda tail: F.when(F.octet_length(tail) < F.octet_length(list_), F.split(F.substring_index(tail, WORD_SIGN, 1), ",").cast("array<int>"))
+        return bound(tail, found)
 
-        def found(list_: Column) -> Column:
-            tail = F.call_function("substring_index", list_, F.concat(F.lit(WORD_SIGN), w, F.lit(IDS_SIGN)), F.lit(-1))
-            return F.when(F.octet_length(tail) < F.octet_length(list_), F.split(F.substring_index(tail, WORD_SIGN, 1), ",").cast("array<int>"))
-
-        return bound(F.get(t["lists"], word_bucket(w)), found)
+    def ids_of(text: Column, known: Column, lists: Column, *tables: Column) -> Column:
+        def of_word(w: Column) -> Column:
+            return F.coalesce(F.get(known, word_bucket(w))[w], bound(F.get(lists, word_bucket(w)), lambda list_: in_list(w, list_)), folded(w, *tables))
 
-    def ids_of(text: Column, t: Column) -> Column:
-        return F.flatten(F.transform(words(text, pattern), lambda w: F.coalesce(known(w, t), in_list(w, t), folded(w, t))))
+        return F.flatten(F.transform(words(text, pattern), of_word))
 
-    return with_literal(docs, t, "ids", lambda row, t: ids_of(row["text"], t))
+    return with_literal(docs, t, "ids", lambda row, t: fields_bound(t, ["words", "lists", *TABLES], lambda *fields: ids_of(row["text"], *fields)))
 
 
 def with_literal(df: DataFrame, t: Column, name: str, value: Callable[[Column, Column], Column]) -> DataFrame:
@@ -235,7 +240,7 @@ def decode(tokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """All columns of tokens and decoded (binary), the bytes of its ids; a decoded of tokens is replaced."""
 
     def joined(row: Column, t: Column) -> Column:
-        return F.unhex(F.array_join(F.transform(row["ids"], lambda i: F.get(t["pieces"], i)), ""))
+        return fields_bound(t, ["pieces"], lambda pieces: F.unhex(F.array_join(F.transform(row["ids"], lambda i: F.get(pieces, i)), "")))
 
     return with_literal(tokens, literal(tokens.sparkSession, vocabulary.pieces), "decoded", joined)
 
