@@ -5,15 +5,17 @@ window of ``n`` consecutive words; an item of fewer words is one window of its o
 null text) gives none. Every document is scanned in its map task, with no shuffle: window hashes go through a bit
 table, then a sorted array, and each remaining hit is verified word by word, so a hash collision cannot report a hit.
 
-What is broadcast is bounded: items are dealt by hash into blocks of at most about ``block_bytes`` of text, and the
-documents pass the blocks one after the other in the same narrow stage; an item of more than that is a block of its own.
-A benchmark of any size is thus scanned whole.
+What is broadcast is bounded: items are dealt by hash into blocks of at most about ``block_bytes`` of text; an item of
+more than that is a block of its own. The documents pass one block after the other; between two blocks they are written
+to the shared folder and the block's broadcast is dropped, so tasks and driver hold one block (the driver also the next
+one's texts), whatever the number of blocks. A benchmark of any size is thus scanned whole.
 
 Items with a null item_id are scanned like the others: their hits count in n_hit and make a document contaminated. They
 are one null entry, last in a document's items, which n_items counts once and the digest of the ids leaves out.
 
 Null or empty document texts have no words and no hits; repeated rows and repeated ids are scanned row by row; an empty
-benchmark reports no hits; further columns are ignored.
+benchmark reports no hits; texts of any length are scanned whole; further columns are kept or ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -26,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.grid import ALNUM, LOWER, Grid, grids, sliced
+from sluice.llm.store import free_names, released, written
 
 BITS = 22
 SPANS = "array<struct<start:int,end:int>>"
+RESULTS = ["n_words", "spans", "items"]
 
 
 class WindowSet:
@@ -91,20 +95,25 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def scanned(docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int) -> DataFrame:
-    """All columns of docs (text as binary) and, per row, _n_words, _spans (word positions, end exclusive, merged) and
-    _items, the sorted ids of the items whose windows occur (a null for those without id). Narrow: no shuffle, whatever the benchmark's size."""
+def scanned(docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int) -> tuple[DataFrame, list[str]]:
+    """All columns of docs (text as binary) and, per row, the number of words, the spans (word positions, end exclusive,
+    merged) and the sorted ids of the items whose windows occur (a null for those without id), and the names of these
+    three columns, which no column of docs has. No shuffle, whatever the benchmark's size."""
     spark = docs.sparkSession
+    names = free_names(docs.columns, *RESULTS)
     own = [F.col("text").cast("binary").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    out = docs.select(*own, F.lit(0).alias("_n_words"), F.array().cast(SPANS).alias("_spans"), F.array().cast("array<bigint>").alias("_items"))
+    empty = (F.lit(0), F.array().cast(SPANS), F.array().cast("array<bigint>"))
+    out = docs.select(*own, *[value.alias(name) for value, name in zip(empty, names, strict=True)])
     schema = out.schema
-    for items in item_blocks(benchmark, block_bytes):
+    blocks = item_blocks(benchmark, block_bytes)
+    items, earlier = next(blocks), None
+    while items is not None:
         held = spark.sparkContext.broadcast(WindowSet(items, n))
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches, "text"):
                 texts = batch.column("text").to_pylist()
-                spans, found = batch.column("_spans").to_pylist(), batch.column("_items").to_pylist()
+                spans, found = batch.column(names[1]).to_pylist(), batch.column(names[2]).to_pylist()
                 counts: list[int] = []
                 for _, grid in grids([(texts, texts)], ALNUM, LOWER):
                     base = len(counts)
@@ -124,14 +133,21 @@ def scanned(docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int) ->
                 yield pa.RecordBatch.from_arrays(kept + fresh, names=batch.schema.names)
 
         out = out.mapInArrow(scan, schema)
-    return out
+        items = next(blocks, None)
+        if items is not None:
+            out = written(out, "scanned")
+            held.destroy()
+            if earlier is not None:
+                released(spark, earlier)
+            earlier = out
+    return out, names
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """Per row of docs: doc_id, n_words, spans and items, as in scanned()."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = scanned(slim, benchmark, n, block_bytes)
-    return found.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_spans").alias("spans"), F.col("_items").alias("items"))
+    found, names = scanned(slim, benchmark, n, block_bytes)
+    return found.select("doc_id", *names)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str = "documents", block_bytes: int = 8 << 20) -> DataFrame:
@@ -139,16 +155,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str
     their texts (mode "spans": whatever stands between the hit words of a span goes with them). Columns as given."""
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode {mode!r}")
-    found = scanned(docs, benchmark, n, block_bytes)
-    names = [F.col("text").cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    found, (_, spans_in, items_in) = scanned(docs, benchmark, n, block_bytes)
+    own = [F.col("text").cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     if mode == "documents":
-        return found.where(F.size("_items") == 0).select(*names)
+        return found.where(F.size(items_in) == 0).select(*own)
     place = docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             texts = batch.column("text").to_pylist()
-            for i, spans in enumerate(batch.column("_spans").to_pylist()):
+            for i, spans in enumerate(batch.column(spans_in).to_pylist()):
                 if spans:
                     grid = Grid([texts[i]], ALNUM, LOWER)
                     keep, at = [], 0
@@ -160,7 +176,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str
             columns[place] = pa.array(texts, pa.binary())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return found.mapInArrow(cut, found.schema).select(*names)
+    return found.mapInArrow(cut, found.schema).select(*own)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:

@@ -54,7 +54,8 @@ class Wavelet:
 
 
 class FmIndex:
-    """text: word numbers from 1, with 0 between pieces and at the end; owner: the document of each word."""
+    """text: word numbers from 1, with 0 between pieces and at the end; owner: the document of each word. Kept are packed
+    bits (the wavelet matrix and where groups of equal first words begin) and an owner for each group."""
 
     def __init__(self, text: np.ndarray, owner: np.ndarray, span: int) -> None:
         if span > DEPTH:
@@ -74,13 +75,19 @@ class FmIndex:
         self.start = np.zeros(symbols + 1, np.int64)
         np.cumsum(np.bincount(text, minlength=symbols), out=self.start[1:])
         self.n = n
-        # rows that agree on their first span words stand together: the least owner among them
+        # rows that agree on their first span words stand together: where such a group begins, and its least owner
         rest = np.full(n, -1, np.int64)
         rest[: max(0, n - (span - 8))] = eight[span - 8 :]
         a, b = eight[rows], rest[rows]
         fresh = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if n else np.zeros(0, np.int64)
-        least = np.minimum.reduceat(owner[rows], fresh) if n else owner
-        self.least = np.repeat(least, np.diff(np.append(fresh, n)))
+        begins = np.zeros(n, np.uint8)
+        begins[fresh] = 1
+        self.groups = Bits(begins)
+        self.group_owner = np.minimum.reduceat(owner[rows], fresh) if n else owner
+
+    def least(self, row: np.ndarray) -> np.ndarray:
+        """The least owner among the rows that agree with each row on their first span words."""
+        return self.group_owner[self.groups.ones(row + 1) - 1]
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row ranges of symbol + pattern from those of pattern."""
@@ -104,3 +111,15 @@ def matching(index: FmIndex, stream: np.ndarray, ends: np.ndarray, span: int) ->
             break
     row[live] = low
     return length, row
+
+
+def intervals(length: np.ndarray, least: np.ndarray, piece: np.ndarray, place: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal intervals of words above the threshold: runs of consecutive windows of one piece whose matching length
+    reaches span and that have one least owner. length, least, piece and place (first word in the piece) of each window,
+    in order; returns piece, first word, end (exclusive) and least owner of each interval."""
+    on = np.flatnonzero(length >= span)
+    new = np.ones(len(on), bool)
+    new[1:] = (np.diff(on) > 1) | (np.diff(piece[on]) != 0) | (np.diff(least[on]) != 0)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(on)) - 1
+    return piece[on[first]], place[on[first]], place[on[last]] + span, least[on[first]]

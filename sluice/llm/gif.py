@@ -7,7 +7,9 @@ canvas and summed into a colour histogram of 64 bins (two bits a channel) and a
 
 Both are maps over rows with no shuffle; the encoded table is written once to the shared folder and read back. Null and
 empty texts are the payload of 64 zero bytes; equal texts give equal files. A file that cannot be decoded gives its
-reason in ``error`` and no frames; null media give neither. Repeated rows are handled row by row; an empty table gives
+reason in ``error`` and no frames, as does a canvas of more than ``CANVAS`` pixels (a parameter): a header of a few bytes
+may ask for 16 GB. Null media give neither. Texts of any length are stored and read whole, one at a time where they are
+long; columns of a media table that are named like a result are replaced. Repeated rows are handled row by row; an empty table gives
 an empty result; further columns are ignored.
 """
 
@@ -25,6 +27,8 @@ from sluice.llm.grid import sliced
 from sluice.llm.store import written
 
 WIDTH, ROWS, DELAY_CS, FULL = 64, 256, 4, 4096
+#: Pixels of the largest canvas (4 bytes each) that is composed.
+CANVAS = 1 << 24
 GREY = bytes(v for v in range(256) for _ in range(3))
 FRAME = pa.struct([("no", pa.int32()), ("left", pa.int32()), ("top", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int32()), ("disposal", pa.int32()), ("transparent", pa.int64()), ("histogram", pa.list_(pa.int64()))])
 FRAMES = "array<struct<no:int,left:int,top:int,width:int,height:int,start_ms:long,delay_ms:int,disposal:int,transparent:long,histogram:array<long>>>"
@@ -105,9 +109,10 @@ def unpacked(data: bytes, size: int) -> Iterator[list[int]]:
             at, j = int(place[-1] + width[n - 1]), j + n
 
 
-def lzw_samples(data: bytes, size: int) -> bytes:
+def lzw_samples(data: bytes, size: int, most: int = 1 << 62) -> bytes:
+    """The samples of a code stream; it is read no further than some thousand codes after ``most`` samples."""
     out: list[bytes] = []
-    put = out.append
+    put, made, counted = out.append, 0, 0
     singles = [bytes([v]) for v in range(1 << size)] + [b"", b""]
     for codes in unpacked(data, size):
         if not codes:
@@ -118,18 +123,23 @@ def lzw_samples(data: bytes, size: int) -> bytes:
         add, free = table.append, len(table)
         before = table[codes[0]]
         put(before)
-        for code in codes[1:]:
-            if code < free:
-                entry = table[code]
-            elif code == free and free < FULL:
-                entry = before + before[:1]
-            else:
-                raise ValueError("code beyond the table")
-            put(entry)
-            if free < FULL:
-                add(before + entry[:1])
-                free += 1
-            before = entry
+        for at in range(1, len(codes), FULL):
+            for code in codes[at : at + FULL]:
+                if code < free:
+                    entry = table[code]
+                elif code == free and free < FULL:
+                    entry = before + before[:1]
+                else:
+                    raise ValueError("code beyond the table")
+                put(entry)
+                if free < FULL:
+                    add(before + entry[:1])
+                    free += 1
+                before = entry
+            made += sum(map(len, out[counted:]))
+            counted = len(out)
+            if made >= most:
+                return b"".join(out)
     return b"".join(out)
 
 
@@ -176,13 +186,15 @@ def palette(raw: bytes) -> np.ndarray:
     return table
 
 
-def decode(data: bytes) -> tuple[list[dict], bytes]:
-    """Frames as composed, with times and histograms, and the samples of all frames in file order."""
+def decode(data: bytes, most: int = CANVAS) -> tuple[list[dict], bytes]:
+    """Frames as composed on a canvas of at most ``most`` pixels, with times and histograms, and the samples of all frames in file order."""
     r = Reader(data)
     if r.take(6) not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF signature")
     width, height, flags, _, _ = struct.unpack("<HHBBB", r.take(7))
     shared = palette(r.take(3 << (flags & 7) + 1)) if flags & 0x80 else palette(GREY)
+    if width * height > most:
+        raise ValueError("canvas too large")
     canvas = np.zeros((height, width, 4), np.uint8)
     frames: list[dict] = []
     samples: list[bytes] = []
@@ -202,7 +214,9 @@ def decode(data: bytes) -> tuple[list[dict], bytes]:
         size = r.take(1)[0]
         if size not in WIDTHS:
             raise ValueError("bad code size")
-        own = lzw_samples(r.chain(), size)[: w * h]
+        if w * h > most:
+            raise ValueError("frame too large")
+        own = lzw_samples(r.chain(), size, w * h)[: w * h]
         if len(own) < w * h:
             raise ValueError("too few samples")
         index = np.frombuffer(own, np.uint8).reshape(h, w)
@@ -241,8 +255,9 @@ def encode_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(encoded, "doc_id long, n_bytes long, media binary")
 
 
-def decode_media(media: DataFrame) -> DataFrame:
+def decode_media(media: DataFrame, most: int = CANVAS) -> DataFrame:
     """All columns of media (one of them the binary ``media``) and, per row, frames, samples (binary) and error."""
+    media = media.drop(*[c for c in media.columns if c.lower() in ("frames", "samples", "error")])
     schema = media.select("*", F.array().cast(FRAMES).alias("frames"), F.lit(b"").alias("samples"), F.lit("").alias("error")).schema
     for field in schema.fields[-3:]:
         field.nullable = True
@@ -253,8 +268,8 @@ def decode_media(media: DataFrame) -> DataFrame:
             for data in batch.column("media").to_pylist():
                 found, raw, error = None, None, None
                 try:
-                    found, raw = decode(data) if data is not None else (None, None)
-                except (ValueError, struct.error) as e:
+                    found, raw = decode(data, most) if data is not None else (None, None)
+                except (ValueError, struct.error, IndexError) as e:
                     error = str(e)
                 frames.append(found)
                 samples.append(raw)

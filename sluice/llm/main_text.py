@@ -9,15 +9,18 @@ page order.
 ``labelled_pages`` makes the training pages: a bounded number (``pages`` parameter) of whole pages in many layouts, with
 the label of each block known from its making. ``train`` accepts any other labelled pages.
 
-Extraction is a map over rows with no shuffle. Null and empty pages, and pages without content, give empty text;
-unclosed, misnested and truncated markup is read as browsers do in broad terms; repeated rows are handled row by row; an
-empty table gives an empty result; further columns are ignored.
+Extraction is a map over rows with no shuffle. Pages of any length and depth are read whole in linear time: a block
+holds a link to its innermost open tag, which knows what its own tag adds to the features of all within, and open tags
+are found by name. Null and empty pages, and pages without content, give empty text; unclosed, misnested and truncated
+markup is read as browsers do in broad terms (after a quote that never closes, quotes no longer guard a >); repeated rows
+are handled row by row; an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+from sluice.llm.grid import sliced
+
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)", re.S)
+ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 #: HIDDEN says where to look closer: ANY_ATTRIBUTE's names and values tell whether the tag is hidden.
 HIDDEN = re.compile(r"\bhidden\b|\bdisplay\b", re.I)
@@ -46,13 +52,33 @@ SPACE = re.compile(r"\s+")
 STEPS = (0, 20, 60, 140, 320, 1 << 30)
 
 
+class Open:
+    """An open tag: its parent, what it adds to the features of all that is within (tags and names that no tag above it
+    has), its innermost two block tags and how many there are."""
+
+    __slots__ = ("added", "depth", "parent", "score", "tag", "two")
+
+    def __init__(self, parent: Open | None, tag: str, added: tuple[str, ...], two: tuple[str, ...], depth: int) -> None:
+        self.parent, self.tag, self.added, self.two, self.depth = parent, tag, added, two, depth
+        self.score: tuple[float, float] | None = None
+
+
 class Block:
-    """Text of a leaf block, how much of it is in links, and the tags and class words above it."""
+    """Text of a leaf block, how much of it is in links, and the innermost open tag."""
+
+    __slots__ = ("linked", "open", "text")
 
-    __slots__ = ("chain", "linked", "names", "text")
+    def __init__(self, text: str, linked: int, innermost: Open | None) -> None:
+        self.text, self.linked, self.open = text, linked, innermost
 
-    def __init__(self, text: str, linked: int, chain: tuple[str, ...], names: tuple[str, ...]) -> None:
-        self.text, self.linked, self.chain, self.names = text, linked, chain, names
+    @property
+    def chain(self) -> tuple[str, ...]:
+        """The open tags, outermost first."""
+        out, node = [], self.open
+        while node:
+            out.append(node.tag)
+            node = node.parent
+        return tuple(reversed(out))
 
 
 def is_hidden(attributes: str) -> bool:
@@ -65,64 +91,114 @@ def is_hidden(attributes: str) -> bool:
     return False
 
 
+class Stack:
+    """The open tags, with the places of each name and of the tags that bound a scope."""
+
+    def __init__(self) -> None:
+        self.tags: list[tuple[str, tuple[str, ...], bool]] = []
+        self.nodes: list[Open] = []
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.seen: Counter[str] = Counter()
+        self.hidden = 0
+
+    def push(self, tag: str, names: tuple[str, ...], off: bool) -> None:
+        above = self.nodes[-1] if self.nodes else None
+        marks = (f"in:{tag}", *dict.fromkeys(f"name:{n}" for n in names))
+        added = tuple(m for m in marks if not self.seen[m])
+        self.seen.update(marks)
+        two, depth = (above.two, above.depth) if above else ((), 0)
+        if tag in BLOCK:
+            two, depth = (*two, tag)[-2:], depth + 1
+        self.places.setdefault(tag, []).append(len(self.tags))
+        if tag in SCOPE:
+            self.scopes.append(len(self.tags))
+        self.tags.append((tag, marks, off))
+        self.nodes.append(Open(above, tag, added, two, depth))
+        self.hidden += off
+
+    def pop(self, k: int) -> None:
+        """Close all tags from place k on."""
+        while len(self.tags) > k:
+            tag, marks, off = self.tags.pop()
+            self.nodes.pop()
+            self.places[tag].pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+            self.seen.subtract(marks)
+            self.hidden -= off
+
+    def last(self, tag: str) -> int:
+        """The place of the last open tag of this name, or -1."""
+        held = self.places.get(tag)
+        return held[-1] if held else -1
+
+    def last_scope(self) -> int:
+        return self.scopes[-1] if self.scopes else -1
+
+
 def leaf_blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = []
+    stack = Stack()
     text: list[str] = []
     unclosed: set[str] = set()
-    linked = links = hidden = 0
+    linked = 0
+    guarded = True  # quotes guard a >
 
     def close_block() -> None:
         nonlocal linked
         if text:
             joined = SPACE.sub(" ", html.unescape("".join(text))).strip()
             if joined:
-                out.append(Block(joined, linked, tuple(t for t, _, _ in stack), tuple(n for _, names, _ in stack for n in names)))
+                out.append(Block(joined, linked, stack.nodes[-1] if stack.nodes else None))
             text.clear()
             linked = 0
 
-    def pop(k: int) -> None:
-        nonlocal links, hidden
-        while len(stack) > k:
-            tag, _, off = stack.pop()
-            links -= tag == "a"
-            hidden -= off
+    def add(piece: str) -> None:
+        nonlocal linked
+        if piece and not stack.hidden:
+            text.append(piece)
+            linked += len(piece) if stack.last("a") >= 0 else 0
 
-    at, end = 0, len(page)
+    at, end, last_end = 0, len(page), page.rfind(">")
     while at < end:
         m = TOKEN.search(page, at)
-        piece = page[at : m.start() if m else end]
-        if piece and not hidden:
-            text.append(piece)
-            linked += len(piece) if links else 0
+        add(page[at : m.start() if m else end])
         if not m:
             break
         at = m.end()
-        tag = m[1].lower() if m[1] else None
-        if tag is None:
+        if not m[1]:
             continue
+        stop = ATTRIBUTES.match(page, at).end() if guarded and at <= last_end else page.find(">", at)
+        if stop == -1 or not page.startswith(">", stop):
+            if guarded and at <= last_end:
+                guarded, at = False, m.start()
+                stop = page.find(">", m.end())
+            if stop == -1 or not page.startswith(">", stop):  # no tag: its sign and name are text
+                add(m[0])
+                at = m.end()
+                continue
+        attributes, at, tag = page[m.end() : stop], stop + 1, m[1].lower()
         if page[m.start() + 1] == "/":
-            place = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
             if tag in BLOCK:
                 close_block()
             elif tag == "br":
                 text.append(" ")
-            if place is not None and (tag in SCOPE or not any(t in SCOPE for t, _, _ in stack[place + 1 :])):
-                pop(place)
+            place = stack.last(tag)
+            if place >= 0 and (tag in SCOPE or stack.last_scope() <= place):
+                stack.pop(place)
             continue
         if tag in BLOCK:
             close_block()
             ends = CLOSES.get(tag, {"p"} if tag in INLINE_ENDS_P else ())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    pop(k)
-                    break
-                if stack[k][0] in SCOPE:
-                    break
+            place = max((stack.last(t) for t in ends), default=-1)
+            if place >= 0 and stack.last_scope() <= place:
+                stack.pop(place)
         elif tag in ("br", "img", "input"):
             text.append(" ")
+        closed = attributes.endswith("/")
         if tag in RAW:
-            if tag == "svg" and m[0].endswith("/>") or tag in unclosed:
+            if tag == "svg" and closed or tag in unclosed:
                 continue
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             if close or tag in SWALLOWS:
@@ -130,14 +206,11 @@ def leaf_blocks(page: str) -> list[Block]:
             else:
                 unclosed.add(tag)
             continue
-        if tag in VOID or m[0].endswith("/>"):
+        if tag in VOID or closed:
             continue
-        attributes = m[2]
         names = tuple(NAME.findall(" ".join(v for _, v in ATTRIBUTE.findall(attributes)).lower())) if "=" in attributes else ()
         off = bool(attributes and HIDDEN.search(attributes) and is_hidden(attributes))
-        stack.append((tag, names, off))
-        links += tag == "a"
-        hidden += off
+        stack.push(tag, names, off)
     close_block()
     return out
 
@@ -146,20 +219,26 @@ def bucket(value: float, steps: tuple = STEPS) -> int:
     return next(i for i, s in enumerate(steps) if value <= s)
 
 
-@lru_cache(maxsize=4096)
-def path_features(chain: tuple[str, ...], names: tuple[str, ...]) -> tuple[str, ...]:
-    inner = [t for t in chain if t in BLOCK]
-    return (*{f"in:{t}" for t in chain}, *{f"name:{n}" for n in names}, f"leaf:{inner[-1] if inner else '-'}", f"pair:{'/'.join(inner[-2:])}", f"depth:{min(len(inner), 8)}")
+def own_features(b: Block, i: int, n_blocks: int) -> list[str]:
+    """Features of a block but for the tags and names above it."""
+    n = len(b.text)
+    two, depth = (b.open.two, b.open.depth) if b.open else ((), 0)
+    own = [f"leaf:{two[-1] if two else '-'}", f"pair:{'/'.join(two)}", f"depth:{min(depth, 8)}", "bias", f"len:{bucket(n)}"]
+    own += [f"link:{min(3, int(4 * b.linked / max(n, 1)))}", f"stop:{b.text[-1] in '.!?…\"”'}", f"commas:{min(3, b.text.count(','))}"]
+    low = b.text.lower()
+    own += [f"mark:{w}" for w in ("©", "cookie", "copyright", "subscribe", "all rights") if w in low]
+    own.append("first" if i == 0 else "last" if i + 1 == n_blocks else "inside")
+    return own
 
 
 def features(blocks: list[Block]) -> list[list[str]]:
+    """All features of each block, for training."""
     out = []
     for i, b in enumerate(blocks):
-        n = len(b.text)
-        own = [*path_features(b.chain, b.names), "bias", f"len:{bucket(n)}", f"link:{min(3, int(4 * b.linked / max(n, 1)))}", f"stop:{b.text[-1] in '.!?…\"”'}", f"commas:{min(3, b.text.count(','))}"]
-        low = b.text.lower()
-        own += [f"mark:{w}" for w in ("©", "cookie", "copyright", "subscribe", "all rights") if w in low]
-        own.append("first" if i == 0 else "last" if i + 1 == len(blocks) else "inside")
+        own, node = own_features(b, i, len(blocks)), b.open
+        while node:
+            own += node.added
+            node = node.parent
         out.append(own)
     return out
 
@@ -171,6 +250,19 @@ class Crf:
         self.index, self.weight, self.move = index, weight, move
         self.rows = {f: (float(weight[i, 0]), float(weight[i, 1])) for f, i in index.items()}
 
+    def above(self, node: Open | None) -> tuple[float, float]:
+        """Weights of the tags and names above a block, summed once for each open tag."""
+        path = []
+        while node and node.score is None:
+            path.append(node)
+            node = node.parent
+        x, y = node.score if node else (0.0, 0.0)
+        for node in reversed(path):
+            known = [self.rows[f] for f in node.added if f in self.rows]
+            x, y = x + sum(v for v, _ in known), y + sum(v for _, v in known)
+            node.score = x, y
+        return x, y
+
     def decode(self, blocks: list[Block]) -> list[int]:
         """Viterbi; a tie goes to boilerplate."""
         if not blocks:
@@ -178,9 +270,10 @@ class Crf:
         rows, back = self.rows, []
         (m00, m01), (m10, m11) = self.move.tolist()
         a = b = 0.0
-        for i, own in enumerate(features(blocks)):
-            known = [rows[f] for f in own if f in rows]
-            e0, e1 = sum(x for x, _ in known), sum(x for _, x in known)
+        for i, block in enumerate(blocks):
+            known = [rows[f] for f in own_features(block, i, len(blocks)) if f in rows]
+            above = self.above(block.open)
+            e0, e1 = above[0] + sum(x for x, _ in known), above[1] + sum(x for _, x in known)
             if i:
                 to0, to1 = (0, a + m00) if a + m00 >= b + m10 else (1, b + m10), (0, a + m01) if a + m01 >= b + m11 else (1, b + m11)
                 back.append((to0[0], to1[0]))
@@ -345,25 +438,28 @@ def default_model(pages: int = 300) -> Crf:
     return train([(b, y) for b, y in made if len(b) == len(y)])
 
 
-def extract(pages: DataFrame, model: Crf | None = None) -> DataFrame:
-    """Per row of pages: page_id, url, text and blocks (each leaf block's text and whether it is content)."""
+def extract(pages: DataFrame, model: Crf | None = None, blocks: bool = True) -> DataFrame:
+    """Per row of pages: page_id, url, text and, with blocks, each leaf block's text and whether it is content."""
     held = pages.sparkSession.sparkContext.broadcast(model or default_model())
     kind = pa.list_(pa.struct([("text", pa.string()), ("content", pa.bool_())]))
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = held.value
-        for batch in batches:
+        for batch in sliced(batches, "html"):
             texts, parts = [], []
-            for page in batch.column("html").to_pylist():
-                blocks = leaf_blocks(page or "")
-                labels = crf.decode(blocks)
-                texts.append("\n".join(b.text for b, y in zip(blocks, labels, strict=True) if y))
-                parts.append([{"text": b.text, "content": bool(y)} for b, y in zip(blocks, labels, strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(parts, kind)], names=["page_id", "url", "text", "blocks"])
+            for page in batch.column("html"):
+                found = leaf_blocks(page.as_py() or "")
+                labels = crf.decode(found)
+                texts.append("\n".join(b.text for b, y in zip(found, labels, strict=True) if y))
+                if blocks:
+                    parts.append([{"text": b.text, "content": bool(y)} for b, y in zip(found, labels, strict=True)])
+            columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), *([pa.array(parts, kind)] if blocks else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "blocks"][: len(columns)])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(extracted, "page_id long, url string, text string, blocks array<struct<text:string,content:boolean>>")
+    schema = "page_id long, url string, text string" + (", blocks array<struct<text:string,content:boolean>>" if blocks else "")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(extracted, schema)
 
 
 def main_text(pages: DataFrame, model: Crf | None = None) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row."""
-    return extract(pages, model).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return extract(pages, model, blocks=False).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -5,17 +5,20 @@ doc_id lose every word, and only one text stands for the rest. Every window of a
 hash among its 5-word shingles (the rightmost of equal ones), so equal windows have equal anchors. Anchors found in one
 text only cannot belong to a repeated window and are dropped by a grouped count. The windows that remain are cut out as
 segments (consecutive windows of one anchor); equal segments are merged with their least doc_id before they are dealt,
-by anchor, to shards. Each shard builds an FM-index of its segments (wavelet-matrix ranks over word numbers), streams
-the segments through backward search, and reports for every window whose matching length reaches SPAN the least
-document of its row range. Those reports return to the documents by a join on segments.
+by anchor, to shards. Each shard numbers its words (by the words themselves), builds an FM-index of its segments (ranks
+in a wavelet matrix of packed bits), streams the segments through backward search, and reports from the matching
+statistics every interval whose matching length reaches SPAN, with the least document of its row range. Those intervals
+return to the documents by a join on segments.
 
-All occurrences of a window meet in one shard, so the result is exact; a shard holds about ``SHARD`` words, however many
-there are. An anchor in more than ``HOT`` texts has its windows dealt one by one by their own hash, so that no anchor
-outgrows a shard. Windows are judged on the input, not on what is left. The standing texts are written once, bucketed by
-doc_id, so that the later joins on doc_id move no text.
+All occurrences of a window meet in one shard and are compared there word by word, so the result is exact: hashes only
+bring candidates together, and a segment is known by its shard key and 128 bits of its SHA-256. A shard holds about
+``SHARD`` words, however many there are. An anchor of more than ``HOT`` segments has its windows dealt one by one by
+their own hash, so that no anchor outgrows a shard. Windows are judged on the input, not on what is left. The standing
+texts are written once, bucketed by doc_id, so that the later joins on doc_id move no text.
 
 Null texts have no words; a null doc_id neither removes nor loses words; rows of one doc_id don't remove each other's
-words; an empty table gives an empty result; further columns are ignored.
+words; texts of any length are read whole, one at a time where they are long; an empty table gives an empty result;
+further columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.fm_index import FmIndex, matching
+from sluice.llm.fm_index import FmIndex, intervals, matching
 from sluice.llm.grid import NOT_SPACE, Grid, grids, sliced
-from sluice.llm.store import bucketed, released, written
+from sluice.llm.store import bucketed, free_names, joined_by_key, released, written
 
 SPAN, SHINGLE, SHARD, HOT = 13, 5, 1_500_000, 20_000
+FOUND = "array<struct<start:int,end:int,least:bigint>>"
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -73,7 +77,7 @@ def facts(docs: DataFrame) -> DataFrame:
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """Distinct (anchor, doc_id)."""
+    """Distinct (anchor, doc_id), and how many segments the anchor has there."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -85,10 +89,11 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                 doc, anchor = grid.doc[first][new], anchor[new]
                 order = np.lexsort((anchor, doc))
                 doc, anchor = doc[order], anchor[order]
-                new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[new]), pa.array(np.array(keys, np.int64)[doc[new]])], names=["anchor", "doc_id"])
+                new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])]))
+                pieces = np.diff(np.append(new, len(doc))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[new]), pa.array(np.array(keys, np.int64)[doc[new]]), pa.array(pieces)], names=["anchor", "doc_id", "pieces"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "anchor long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(rows, "anchor long, doc_id long, pieces int")
 
 
 def segments(docs: DataFrame, shared: DataFrame) -> DataFrame:
@@ -139,117 +144,133 @@ def segments(docs: DataFrame, shared: DataFrame) -> DataFrame:
     return with_anchors.select("doc_id", "version", "text", "anchors", "hot").mapInArrow(cut, "cell long, segment binary, doc_id long, version long, at int")
 
 
+def numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts as numbers from 1, equal for equal words only, with a 0 after each text; words in each."""
+    seen: dict[bytes, int] = {}
+    parts, size = [], np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        words = text.split(b" ")
+        size[i] = len(words)
+        parts.append(np.array([seen.setdefault(w, len(seen) + 1) for w in words] + [0], np.int32))
+    return np.concatenate(parts).astype(np.int64), size
+
+
 def searched(pieces: DataFrame, shards: int) -> DataFrame:
-    """(cell, key, least): for each window of each distinct segment (cell, segment, owner), the least document in which
-    it starts; key is the segment's hash."""
+    """(cell, key, found) of each distinct segment (cell, segment, owner): found are its intervals (first word, end and
+    least document) of matching length SPAN or more within the shard; key is a digest of the segment."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
+        cells: list[np.ndarray] = []
+        keys: list[bytes] = []
         texts: list[bytes] = []
         owners: list[np.ndarray] = []
         for batch in batches:
-            keys.append(np.stack([batch.column(c).to_numpy() for c in ("cell", "key")]))
+            cells.append(batch.column("cell").to_numpy())
+            keys += batch.column("key").to_pylist()
             texts += batch.column("segment").to_pylist()
             owners.append(batch.column("owner").to_numpy())
         if not texts:
             return
-        cell, key = np.concatenate(keys, axis=1)
-        owner = np.concatenate(owners)
-        words: list[np.ndarray] = []
-        sizes: list[np.ndarray] = []
-        for _, grid in grids([(texts, texts)], NOT_SPACE):
-            words.append(grid.hashes)
-            sizes.append(np.diff(grid.first))
-        hashes, size = np.concatenate(words), np.concatenate(sizes)
-        number = np.unique(hashes, return_inverse=True)[1] + 1
+        cell, owner = np.concatenate(cells), np.concatenate(owners)
+        text, size = numbered(texts)
         begin = np.cumsum(size + 1) - (size + 1)
-        text = np.zeros(int((size + 1).sum()), np.int64)
-        text[np.arange(len(number)) + np.repeat(np.arange(len(size)), size)] = number
         index = FmIndex(text, np.repeat(owner, size + 1), SPAN)
         count = size - SPAN + 1
         which = np.repeat(np.arange(len(size)), count)
-        ends = begin[which] + SPAN - 1 + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        least = owner[which]
-        for at in range(0, len(ends), 1 << 18):
-            _, row = matching(index, text, ends[at : at + (1 << 18)], SPAN)
-            found = np.flatnonzero(row >= 0)
-            least[at + found] = index.least[row[found]]
-        edges = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+        place = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+        length, least = np.zeros(len(which), np.int64), owner[which]
+        for at in range(0, len(which), 1 << 18):
+            part = slice(at, at + (1 << 18))
+            length[part], row = matching(index, text, begin[which[part]] + SPAN - 1 + place[part], SPAN)
+            hit = np.flatnonzero(row >= 0)
+            least[at + hit] = index.least(row[hit])
+        piece, start, end, who = intervals(length, least, which, place, SPAN)
+        edges = np.searchsorted(piece, np.arange(len(size) + 1)).astype(np.int32)
         for at in range(0, len(texts), 20_000):
             stop = min(at + 20_000, len(texts))
-            values = pa.ListArray.from_arrays(pa.array(edges[at : stop + 1] - edges[at]), pa.array(least[edges[at] : edges[stop]]))
-            yield pa.RecordBatch.from_arrays([pa.array(cell[at:stop]), pa.array(key[at:stop]), values], names=["cell", "key", "least"])
+            part = slice(edges[at], edges[stop])
+            rows = pa.StructArray.from_arrays([pa.array(start[part].astype(np.int32)), pa.array(end[part].astype(np.int32)), pa.array(who[part])], names=["start", "end", "least"])
+            found = pa.ListArray.from_arrays(pa.array(edges[at : stop + 1] - edges[at]), rows)
+            yield pa.RecordBatch.from_arrays([pa.array(cell[at:stop]), pa.array(keys[at:stop], pa.binary()), found], names=["cell", "key", "found"])
+
+    keyed = pieces.select("cell", digest_of("segment").alias("key"), "segment", "owner")
+    return keyed.repartition(shards, "cell").mapInArrow(search, f"cell long, key binary, found {FOUND}")
+
 
-    keyed = pieces.select("cell", F.xxhash64("segment").alias("key"), "segment", "owner")
-    return keyed.repartition(shards, "cell").mapInArrow(search, "cell long, key long, least array<long>")
+def digest_of(segment: str) -> F.Column:
+    """128 bits of a binary column's SHA-256."""
+    return F.unhex(F.substring(F.sha2(segment, 256), 1, 32))
 
 
 def without(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """doc_id, version, n_removed and text (what is left, words joined by a space) of the rows with hits: (doc_id,
-    version, starts), the first words of the windows to remove."""
+    """doc_id, version, n_removed and left (the words that are left, joined by a space) of the rows with hits: (doc_id,
+    version, found), the intervals of words to remove."""
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             gone, left = [], []
-            for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts"), strict=True):
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("found"), strict=True):
                 words = text.split()
                 cover = np.zeros(len(words) + 1, np.int32)
-                at = np.unique(starts.values.to_numpy())
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + SPAN, -1)
+                np.add.at(cover, found.values.field("start").to_numpy(), 1)
+                np.add.at(cover, found.values.field("end").to_numpy(), -1)
                 keep = np.cumsum(cover)[:-1] == 0
                 gone.append(int(len(words) - keep.sum()))
                 left.append(b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(gone, pa.int64()), pa.array(left, pa.binary())], names=["doc_id", "version", "n_removed", "left"])
 
     both = docs.join(hits, ["doc_id", "version"])
-    return both.select("doc_id", "version", "text", "starts").mapInArrow(removed, "doc_id long, version long, n_removed long, left binary")
+    return both.select("doc_id", "version", "text", "found").mapInArrow(removed, "doc_id long, version long, n_removed long, left binary")
 
 
-def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Facts of every row of slim(docs) with copy (whether all its words go), and without()'s rows."""
+def repeats(docs: DataFrame, result: list[F.Column]) -> tuple[DataFrame, DataFrame]:
+    """Facts of every row of slim(docs) with copy (whether all its words go), and the given columns of without()'s rows,
+    once for each doc_id and version."""
     spark = docs.sparkSession
     base = slim(docs)
     about = written(facts(base), "facts")
     long = about.where(f"doc_id IS NOT NULL AND n_words >= {SPAN}")
-    firsts = long.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    firsts = written(long.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).where("k > 1"), "firsts")
     standing = written(long.groupBy("digest").agg(F.min(F.struct("doc_id", "version")).alias("s")).select("s.*"), "standing")
     same = F.col("version").bitwiseXOR(F.col("_version")) == 0  # not a join key: doc_id alone deals the texts, as the buckets need
     texts = written(bucketed(base, "doc_id").join(standing.withColumnRenamed("version", "_version"), "doc_id").where(same).drop("_version"), "texts", bucketed_by="doc_id")
-    released(spark)
     rows = written(anchor_rows(texts), "anchors")
-    seen = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    found = rows.join(seen.select("anchor", (F.col("n") > HOT).alias("is_hot")), "anchor")
+    seen = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("pieces").alias("pieces")).where("n > 1")
+    found = rows.select("anchor", "doc_id").join(seen.select("anchor", (F.col("pieces") > HOT).alias("is_hot")), "anchor")
     shared = written(found.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.array_compact(F.collect_list(F.when(F.col("is_hot"), F.col("anchor")))).alias("hot")), "shared")
-    released(spark, rows)
+    released(spark, rows, standing)
     cuts = written(segments(texts, shared), "segments")
     released(spark, shared)
     pieces = cuts.groupBy("cell", "segment").agg(F.min("doc_id").alias("owner"))
     size = cuts.agg(F.sum(F.length("segment"))).first()[0] or 0
-    least = written(searched(pieces, max(1, -(-int(size) // (6 * SHARD)))), "least")
-    released(spark)
-    starts = F.transform(F.filter(F.sequence(F.lit(0), F.size("least") - 1), lambda i: F.get("least", i) < F.col("doc_id")), lambda i: i + F.col("at"))
-    reports = cuts.select("cell", F.xxhash64("segment").alias("key"), "doc_id", "version", "at").join(least, ["cell", "key"]).select("doc_id", "version", starts.alias("starts")).where("size(starts) > 0")
-    hits = written(reports.groupBy("doc_id", "version").agg(F.flatten(F.collect_list("starts")).alias("starts")), "hits")
-    released(spark, cuts, least)
-    copies = about.join(firsts, "digest", "left").withColumn("copy", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)))
-    return copies.select("doc_id", "version", "n_words", "digest", "copy"), without(texts, hits)
+    known = written(searched(pieces, max(1, -(-int(size) // (6 * SHARD)))).where("size(found) > 0"), "found")
+    earlier = F.filter("found", lambda i: i["least"] < F.col("doc_id"))
+    placed = F.transform(earlier, lambda i: F.struct((i["start"] + F.col("at")).alias("start"), (i["end"] + F.col("at")).alias("end")))
+    reports = cuts.select("cell", digest_of("segment").alias("key"), "doc_id", "version", "at").join(known, ["cell", "key"]).select("doc_id", "version", placed.alias("found")).where("size(found) > 0")
+    hits = written(reports.groupBy("doc_id", "version").agg(F.flatten(F.collect_list("found")).alias("found")), "hits")
+    released(spark, cuts, known)
+    gone = written(without(texts, hits).select("doc_id", "version", *result).dropDuplicates(["doc_id", "version"]), "gone")
+    released(spark, texts, hits)
+    copies = joined_by_key(about, firsts, "digest", "k", about.count()).withColumn("copy", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)))
+    return copies.select("doc_id", "version", "n_words", "digest", "copy"), gone
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row of docs."""
-    about, cut = repeats(docs)
-    cut = cut.select("doc_id", "version", "n_removed", F.sha2("left", 256).alias("kept")).distinct()  # of repeated rows
+    about, cut = repeats(docs, [F.col("n_removed"), F.sha2("left", 256).alias("kept")])
+    known = about.where("doc_id IS NOT NULL").join(cut, ["doc_id", "version"], "left")
+    both = known.unionByName(about.where("doc_id IS NULL"), allowMissingColumns=True)
     gone = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     kept = F.when(F.col("copy"), F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept", F.lower(F.hex("digest"))))
-    return about.join(cut, ["doc_id", "version"], "left").select("doc_id", "n_words", gone.alias("n_removed"), kept.alias("kept_sha256"))
+    return both.select("doc_id", "n_words", gone.alias("n_removed"), kept.alias("kept_sha256"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs without the repeated windows: a text that loses words becomes its remaining words, joined by a space."""
-    about, cut = repeats(docs)
-    one = about.select("doc_id", F.col("version").alias("_v"), F.col("copy").alias("_copy")).distinct()
-    new = cut.select("doc_id", F.col("version").alias("_v"), F.col("left").cast("string").alias("_left")).dropDuplicates(["doc_id", "_v"])
-    own = [F.when(F.col("_copy"), F.lit("")).otherwise(F.coalesce("_left", "text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn("_v", F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
-    return keyed.join(one, ["doc_id", "_v"], "left").join(new, ["doc_id", "_v"], "left").select(*own)
+    version, copy, left = free_names(docs.columns, "version", "copy", "left")
+    about, cut = repeats(docs, [F.col("left")])
+    one = about.select("doc_id", F.col("version").alias(version), F.col("copy").alias(copy)).distinct()
+    new = cut.select("doc_id", F.col("version").alias(version), F.col("left").cast("string").alias(left))
+    own = [F.when(F.col(copy), F.lit("")).otherwise(F.coalesce(left, "text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn(version, F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
+    return keyed.join(one, ["doc_id", version], "left").join(new, ["doc_id", version], "left").select(*own)

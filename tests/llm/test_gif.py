@@ -95,3 +95,16 @@ def test_query_digests_and_bad_media(spark):
     back = {r.doc_id: r for r in G.decode_media(bad).collect()}
     assert back[1].error is None and all(back[i].error and back[i].frames is None for i in (2, 3, 5)) and back[4].error is None and back[4].frames is None
     assert G.timed_frames(G.decode_media(bad)).count() == 1 and G.report(df.limit(0)).count() == 0
+
+
+def test_bounded_canvas_and_streams_that_expand(spark):
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0xF7, 0, 0) + G.GREY + b"\x3b"
+    wide = b"GIF89a" + struct.pack("<HHBBB", 8, 8, 0xF7, 0, 0) + G.GREY + b"\x2c" + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + b"\x08\x01\x00\x00\x3b"
+    codes = [256, 0, *range(258, 4096), *[4095] * 300_000, 257]  # 1.2 GB of samples for a frame of 64
+    bomb = b"GIF89a" + struct.pack("<HHBBB", 8, 8, 0xF7, 0, 0) + G.GREY + b"\x2c" + struct.pack("<HHHHB", 0, 0, 8, 8, 0) + b"\x08" + G.blocks(stream(codes, 8)) + b"\x3b"
+    df = spark.createDataFrame([(1, huge, 5, "x", 6), (2, wide, 5, "x", 6), (3, bomb, 5, "x", 6)], "doc_id long, media binary, frames int, samples string, error int")
+    got = {r.doc_id: r for r in G.decode_media(df).collect()}
+    assert (got[1].error, got[2].error, got[3].error) == ("canvas too large", "frame too large", None)
+    assert bytes(got[3].samples) == b"\0" * 64 and got[1].frames is None
+    with pytest.raises(ValueError, match="canvas"):
+        G.decode(G.encode_samples(b"a" * 640), most=639)
