@@ -6,9 +6,9 @@ leftmost pair of least rank until no pair has one. A vocabulary has up to 2**19
 come from a literal map, dealt into small buckets so that a look-up doesn't scan 50,000 entries; it reaches the tasks as
 the value of a scalar subquery.
 
-All words of the corpus are counted and the commonest distinct words are folded once, on the executors; their ids join
-the literal in two forms: ``FREQUENT`` words in maps, which give a word's ids without a copy, and the next up to
-``LISTED`` words as text, half the size. Both are fixed numbers, so what the driver holds is bounded. Of the rest each
+All words of the corpus are counted and the commonest distinct words are folded once, on the executors; their ids make a
+second literal in two forms: ``FREQUENT`` words in maps, which give a word's ids without a copy, and the next up to
+``LISTED`` words as text, half the size. Both are fixed numbers, so what the driver passes on is bounded. Of the rest each
 occurrence is folded where it stands: a join would move every text and its rare words through a shuffle of more than
 the folding costs. Decoding looks up each id's bytes and concatenates them; it reads the ids alone.
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm.store import released, written
 
-FREQUENT, LISTED, PAIR_BUCKETS, WORD_BUCKETS, INNER_BITS, LONG = 1 << 17, 1 << 19, 1 << 16, 1 << 16, 20, 48
+FREQUENT, LISTED, PAIR_BUCKETS, WORD_BUCKETS, LIST_BUCKETS, INNER_BITS, LONG = 1 << 17, 1 << 20, 1 << 16, 1 << 16, 1 << 18, 20, 48
 TABLES = ["bytes", "merges", "inner"]
 #: Signs that open a word and its ids in a bucket's list; words that hold one of them are not listed.
 WORD_SIGN, IDS_SIGN = "\x01", "\x02"
@@ -59,7 +59,7 @@ def bucketed_map(bucket: np.ndarray, keys: pa.Array, items: pa.Array, buckets: i
 class Vocabulary:
     """Ranks of byte strings from the lines of a rank file, as one-row tables: bytes (ids of the 256 bytes), merges (for
     each pair of ids, by bucket, the id they merge to), inner (a bit for the hash of every two-byte token and of every
-    three bytes within a token) and pieces (hex digits of each id's bytes)."""
+    three bytes within a token) and pieces (each id's bytes)."""
 
     def __init__(self, lines: list[bytes]) -> None:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
@@ -74,15 +74,15 @@ class Vocabulary:
         within = {t for t in ranks if len(t) == 2} | {t[i : i + 3] for t in ranks for i in range(len(t) - 2)}
         inner = np.zeros(1 << INNER_BITS, np.uint8)
         inner[[int.from_bytes(b"\1" + t) * MUL % (1 << INNER_BITS) for t in within]] = 1
-        pieces: list[str | None] = [None] * (max(ranks.values(), default=-1) + 1)
+        pieces: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
-            pieces[rank] = token.hex()
+            pieces[rank] = token
         self.tables = {
             "bytes": pa.array([[ranks[bytes([v])] for v in range(256)]], pa.list_(pa.int32())),
             "merges": bucketed_map((left * MUL + right) % PAIR_BUCKETS, pa.array(left << 20 | right), pa.array(merged.astype(np.int32)), PAIR_BUCKETS),
             "inner": pa.array([np.packbits(inner, bitorder="little").view(np.int64)], pa.list_(pa.int64())),
         }
-        self.pieces = {"pieces": pa.array([pieces], pa.list_(pa.string()))}
+        self.pieces = {"pieces": pa.array([pieces], pa.list_(pa.binary()))}
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -92,8 +92,10 @@ class Vocabulary:
 
 def literal(spark: SparkSession, columns: dict[str, pa.Array]) -> Column:
     """One row of tables as a struct-valued scalar subquery. A select of its own must name it before a higher-order
-    function reads it; the optimiser joins the two selects, so that rows never carry it."""
-    return spark.createDataFrame(pa.table(columns)).select(F.struct(*columns).alias("t")).scalar()
+    function reads it; the optimiser joins the two selects, so that rows never carry it. Bytes become strings, as they
+    are, since strings can be joined."""
+    rows = spark.createDataFrame(pa.table(columns))
+    return rows.select(F.struct(*[F.col(c).cast("array<string>").alias(c) if t == "array<binary>" else c for c, t in rows.dtypes]).alias("t")).scalar()
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -179,39 +181,37 @@ def thresholds(counts: DataFrame, sizes: list[int]) -> list[int]:
     return found + [least] * (len(sizes) - len(found))
 
 
-def word_bucket(word: Column) -> Column:
-    return F.hash(word).bitwiseAND(F.lit(WORD_BUCKETS - 1))
+def bucket_of(word: Column, buckets: int) -> Column:
+    return F.hash(word).bitwiseAND(F.lit(buckets - 1))
 
 
-def common_words(docs: DataFrame, vocabulary: Vocabulary, pattern: str, frequent: int, listed: int) -> dict[str, pa.Array]:
-    """The commonest words and their ids, by bucket of their hash: words (maps, of at most frequent words) and lists
-    (texts, of the next ones up to listed words)."""
+def by_bucket(rows: DataFrame, gathered: Column, buckets: int, finished: Callable[[Column], Column] = lambda value: value) -> DataFrame:
+    """One row: an array with what is gathered of rows (word, ids) in each bucket, null for an empty one."""
+    made = rows.withColumn("b", bucket_of(F.col("word"), buckets)).groupBy("b").agg(gathered.alias("value"))
+    every = rows.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(made, "b", "left")
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "value"))), lambda x: finished(x["value"])).alias("value"))
+
+
+def common_words(docs: DataFrame, vocabulary: Vocabulary, pattern: str, frequent: int, listed: int) -> list[Column]:
+    """The ids of the commonest words by bucket of their hash, as scalar subqueries: maps (of at most frequent words) and
+    lists (texts, of the next ones up to listed words)."""
     spark = docs.sparkSession
     counts = written(docs.select(F.explode(words(F.col("text"), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
     least, low = thresholds(counts, [frequent, listed])
     top = counts.where(F.col("n") >= min(least, low)).select("word", "n", literal(spark, vocabulary.tables).alias("_t"))
-    known = top.select("word", "n", bound(F.col("_t"), lambda t: fields_bound(t, TABLES, lambda *tables: folded(F.col("word"), *tables))).alias("ids"), word_bucket(F.col("word")).alias("b"))
-    known = written(known, "word-ids")
-    word, ids, b = columns_of(known.where(F.col("n") >= least).select("word", "ids", "b"))
+    known = written(top.select("word", "n", bound(F.col("_t"), lambda t: fields_bound(t, TABLES, lambda *tables: folded(F.col("word"), *tables))).alias("ids")), "word-ids")
+    released(spark, counts)
     entry = F.concat(F.lit(WORD_SIGN), "word", F.lit(IDS_SIGN), F.array_join(F.col("ids").cast("array<string>"), ","))
     plain = ~(F.contains("word", F.lit(WORD_SIGN)) | F.contains("word", F.lit(IDS_SIGN)))
-    rest, at = columns_of(known.where((F.col("n") < least) & plain).groupBy("b").agg(F.array_join(F.collect_list(entry), "").alias("list")).select("list", "b"))
-    released(spark, counts, known)
-    place = np.full(WORD_BUCKETS, -1)
-    place[at.to_numpy()] = np.arange(len(at))
-    lists = rest.take(pa.array(place, mask=place < 0)).fill_null("")
-    return {"words": bucketed_map(b.to_numpy(), word, ids, WORD_BUCKETS), "lists": pa.ListArray.from_arrays(pa.array([0, WORD_BUCKETS], pa.int32()), lists)}
-
-
-def columns_of(df: DataFrame) -> list[pa.Array]:
-    rows = df.toArrow().combine_chunks()
-    return [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in rows.columns]
+    maps = by_bucket(known.where(F.col("n") >= least), F.collect_list(F.struct("word", "ids")), WORD_BUCKETS, F.map_from_entries)
+    lists = by_bucket(known.where((F.col("n") < least) & plain), F.array_join(F.collect_list(entry), ""), LIST_BUCKETS)
+    return [maps.scalar(), lists.scalar()]
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, frequent: int = FREQUENT, listed: int = LISTED) -> DataFrame:
     """All columns of docs and ids (array of int), the text's token ids; an ids of docs is replaced."""
-    spark = docs.sparkSession
-    t = literal(spark, vocabulary.tables | common_words(docs, vocabulary, pattern, frequent, max(frequent, listed)))
+    maps, lists = common_words(docs, vocabulary, pattern, frequent, max(frequent, listed))
+    tables = literal(docs.sparkSession, vocabulary.tables)
 
     def in_list(w: Column, list_: Column) -> Column:
         """The word's ids from its bucket's list: what follows the word there, up to the next word."""
@@ -221,28 +221,35 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, frequent: int
 
     def ids_of(text: Column, known: Column, lists: Column, *tables: Column) -> Column:
         def of_word(w: Column) -> Column:
-            return F.coalesce(F.get(known, word_bucket(w))[w], bound(F.get(lists, word_bucket(w)), lambda list_: in_list(w, list_)), folded(w, *tables))
+            return F.coalesce(F.get(known, bucket_of(w, WORD_BUCKETS))[w], bound(F.get(lists, bucket_of(w, LIST_BUCKETS)), lambda list_: in_list(w, list_)), folded(w, *tables))
 
         return F.flatten(F.transform(words(text, pattern), of_word))
 
-    return with_literal(docs, t, "ids", lambda row, t: fields_bound(t, ["words", "lists", *TABLES], lambda *fields: ids_of(row["text"], *fields)))
+    def value(row: Column, t: Column, maps: Column, lists: Column) -> Column:
+        return fields_bound(t, TABLES, lambda *fields: ids_of(row["text"], maps, lists, *fields))
+
+    return with_literals(docs, [tables, maps, lists], "ids", value)
 
 
-def with_literal(df: DataFrame, t: Column, name: str, value: Callable[[Column, Column], Column]) -> DataFrame:
-    """All columns of df but ``name``, and that one with a value computed from a struct of df's columns and the literal;
-    the struct lets any names stand in df."""
-    named = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), t.alias("t"))
+def with_literals(df: DataFrame, literals: list[Column], name: str, value: Callable[..., Column]) -> DataFrame:
+    """All columns of df but ``name``, and that one with a value computed from a struct of df's columns and the literals,
+    each bound once a row; the struct lets any names stand in df."""
+    named = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[t.alias(f"t{i}") for i, t in enumerate(literals)])
     row = named["row"]
-    return named.select(*[row[c].alias(c) for c in df.columns if c.lower() != name], bound(named["t"], lambda t: value(row, t)).alias(name))
+
+    def within(i: int, *done: Column) -> Column:
+        return value(row, *done) if i == len(literals) else bound(named[f"t{i}"], lambda t: within(i + 1, *done, t))
+
+    return named.select(*[row[c].alias(c) for c in df.columns if c.lower() != name], within(0).alias(name))
 
 
 def decode(tokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """All columns of tokens and decoded (binary), the bytes of its ids; a decoded of tokens is replaced."""
 
     def joined(row: Column, t: Column) -> Column:
-        return fields_bound(t, ["pieces"], lambda pieces: F.unhex(F.array_join(F.transform(row["ids"], lambda i: F.get(pieces, i)), "")))
+        return fields_bound(t, ["pieces"], lambda pieces: F.array_join(F.transform(row["ids"], lambda i: F.get(pieces, i)), "").cast("binary"))
 
-    return with_literal(tokens, literal(tokens.sparkSession, vocabulary.pieces), "decoded", joined)
+    return with_literals(tokens, [literal(tokens.sparkSession, vocabulary.pieces)], "decoded", joined)
 
 
 def report(docs: DataFrame, vocabulary: Vocabulary, pattern: str, frequent: int = FREQUENT, listed: int = LISTED) -> DataFrame:
