@@ -14,6 +14,28 @@ def variant_long(json: Column, path: str, default: int = 0) -> Column:
     return F.coalesce(F.try_variant_get(F.try_parse_json(json), path, "bigint"), F.lit(default).cast("bigint"))
 
 
+def variant_text(json: Column, path: str, default: str | None = None) -> Column:
+    """A string inside a dynamic value; a missing or differently typed one becomes the default."""
+    value = F.try_parse_json(json)
+    held = F.try_variant_get(value, path, "string")
+    return F.coalesce(F.when(F.schema_of_variant(F.try_variant_get(value, path, "variant")) == "STRING", held), F.lit(default))
+
+
+def new_tag() -> Column:
+    """A random tag (UUID version 4) for a registration."""
+    return F.uuid()
+
+
+def clock_ms(at: Column | None = None) -> Column:
+    """Milliseconds since 1970 of a time in UTC, or of the query's start."""
+    return F.unix_millis(F.current_timestamp() if at is None else at.cast("timestamp"))
+
+
+def ms_text(ms: Column) -> Column:
+    """Milliseconds as text: three decimals below 1, two below 100, then none; N/A for a null."""
+    return F.when(ms < 1, F.format_string("%.3fms", ms)).when(ms < 100, F.format_string("%.2fms", ms)).when(ms.isNotNull(), F.format_string("%.0fms", ms)).otherwise("N/A")
+
+
 def pid_text(node: Column, local: Column) -> Column:
     return F.format_string("<%d.%d>", node, local)
 

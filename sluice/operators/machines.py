@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.functions.names import free_names
 
 #: Rows of one key that are folded in one row; a power of two.
 CHUNK = 1 << 12
@@ -25,6 +26,30 @@ def agent(events: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return events.withColumn("state", F.sum(value).over(Window.partitionBy(key).orderBy(order)))
 
 
+def agent_calls(events: DataFrame, key: str, order: str, kind: str, value: str) -> DataFrame:
+    """What a cell answers: ``get`` its state, ``update`` and ``cast`` nothing (they add value), ``get_and_update`` the
+    state before it adds value. The first ``stop`` ends the cell: what follows has the error ``stopped``."""
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    stopped, held = free_names(events.columns, "stopped", "held")
+    adds = F.when(F.col(kind).isin("update", "cast", "get_and_update"), F.col(value))
+    told = events.withColumn(stopped, F.coalesce(F.bool_or(F.col(kind) == "stop").over(before), F.lit(False)))
+    told = told.withColumn(held, F.coalesce(F.sum(F.when(~F.col(stopped), adds)).over(before), F.lit(0)))
+    answer = F.when(~F.col(stopped) & F.col(kind).isin("get", "get_and_update"), F.col(held))
+    return told.withColumn("answer", answer).withColumn("error", F.when(F.col(stopped), "stopped")).drop(stopped, held)
+
+
+def inspected(events: DataFrame, key: str, order: str, kind: str, value: str, suspend: str, resume: str, inspect: str) -> DataFrame:
+    """The rows of kind inspect with the server's state (the sum of value over what it has handled). A suspended server
+    answers them at once; what waits for its resume isn't in the state."""
+    handled, at = free_names(events.columns, "handled_at", "at")
+    seen = suspended(events, key, order, kind, suspend, resume).withColumnRenamed("handled_at", handled)
+    asks = F.col(kind) == inspect
+    placed = seen.withColumn(at, F.when(asks, F.col(order)).otherwise(F.col(handled))).where(F.col(at).isNotNull())
+    done = Window.partitionBy(key).orderBy(at, order).rowsBetween(Window.unboundedPreceding, 0)
+    state = F.coalesce(F.sum(F.when(~asks, F.col(value))).over(done), F.lit(0))
+    return placed.withColumn("state", state).where(asks).drop(handled, at)
+
+
 def served_order(calls: DataFrame, key: str, tick: str, kind: str, seq: str) -> DataFrame:
     """The order in which a server handles what waits at each tick: continue, system, call, cast, info; then FIFO."""
     rank = F.array_position(F.array(*map(F.lit, ("continue", "system", "call", "cast", "info"))), F.col(kind))

@@ -18,6 +18,16 @@ def failures(probes: DataFrame, node: str, ts: str, order: str, timeout: str) ->
     return first.where(F.col("_next").isNull() | (F.col("_next") >= F.col("dead_at"))).select(node, F.col(ts).alias("suspected_at"), "dead_at")
 
 
+def removals(dead: DataFrame, now: str, after: str) -> DataFrame:
+    """The dead members (dead_at; see failures) that a second timeout has removed by ``now``, with removed_at."""
+    gone = F.col("dead_at") + F.expr(f"interval {after}")
+    return dead.withColumn("removed_at", gone).where(F.col("removed_at") <= F.lit(now).cast("timestamp_ntz"))
+
+
+def alive_count(members: DataFrame) -> DataFrame:
+    return members.agg(F.count_if(F.col("state") == "alive").alias("alive"))
+
+
 def incarnations(updates: DataFrame, node: str, order: str) -> DataFrame:
     """State of each node after its updates (state, incarnation) in order: alive needs a higher incarnation, suspect an
     equal or higher one, dead is final. Until death a node's incarnation is the highest that it was told, so what each

@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.sources.shared import written
 
 
+#: A strategy that says for each message what becomes of it, in a column ``route``.
+Router = Callable[[DataFrame], DataFrame]
+
+
+def routed(messages: DataFrame, router: Router, outlets: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Messages by a router's choice through the outlet of that name; one without an outlet is an error of its row."""
+    chosen = router(messages)
+    parts = [outlet(chosen.where(F.col("route") == name)) for name, outlet in outlets.items()]
+    lost = chosen.where(~F.coalesce(F.col("route").isin(*outlets), F.lit(False))).withColumn("error", F.lit("no route"))
+    for part in parts:
+        lost = lost.unionByName(part, allowMissingColumns=True)
+    return lost
+
+
+def process_count(processes: DataFrame) -> DataFrame:
+    return processes.agg(F.count("*").alias("processes"))
+
+
 def deliver(messages: DataFrame, processes: DataFrame, key: str) -> DataFrame:
     """Messages whose destination exists, with its columns."""
     return messages.join(processes, key)
@@ -28,13 +48,13 @@ def send_named(messages: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def replies(calls: DataFrame, answers: DataFrame, request: str, within: str) -> DataFrame:
-    """Every call with its first answer in time (reply_at), or a null and ``timed_out``. Equal calls count once.
+    """Every call with its first answer in time (reply_at), or a null and ``timed_out``. Equal calls are so many rows.
 
     Calls and answers are dealt together by ranges of request and time and written once, so that a request with many
     rows is split over tasks and no call meets more than one answer: within a range the next answer is carried backwards,
     and where there is none, it is the first of the ranges behind (a row for each request and range)."""
     names = calls.columns
-    c = calls.distinct().select(F.col(request).alias("_key"), F.col("ts").alias("_ts"), F.lit(None).cast(answers.schema["ts"].dataType).alias("_reply"), F.struct(*[F.col(n) for n in names]).alias("_call"))
+    c = calls.select(F.col(request).alias("_key"), F.col("ts").alias("_ts"), F.lit(None).cast(answers.schema["ts"].dataType).alias("_reply"), F.struct(*[F.col(n) for n in names]).alias("_call"))
     a = answers.where(F.col(request).isNotNull() & F.col("ts").isNotNull()).select(F.col(request).alias("_key"), F.col("ts").alias("_ts"), F.col("ts").alias("_reply"))
     rows = c.unionByName(a, allowMissingColumns=True)
     dealt = written(rows.repartitionByRange("_key", "_ts").withColumn("_range", F.spark_partition_id()), "replies")

@@ -6,20 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.values import load_score
+from sluice.operators.folds import fold
+from sluice.operators.ordering import position_in
 
 
-def pick_worker(workers: DataFrame) -> DataFrame:
-    """The least loaded worker: by (in_flight + 1) * max(average, 1), then completed, then order of registration."""
+def pick_worker(workers: DataFrame, registered: str = "worker") -> DataFrame:
+    """The least loaded worker: by (in_flight + 1) * max(average, 1), then completed, then the column that tells the order
+    of registration."""
     load = load_score(F.col("in_flight"), F.col("avg_us"))
-    return workers.agg(F.min_by("worker", F.struct(load, F.col("completed"), F.col("worker"))).alias("worker"), F.min(load).alias("load"))
+    return workers.agg(F.min_by("worker", F.struct(load, F.col("completed"), F.col(registered))).alias("worker"), F.min(load).alias("load"))
+
+
+def registered(changes: DataFrame, worker: str, order: str, kind: str) -> DataFrame:
+    """The workers in the registry after all changes (register, unregister) in order, with the order value of the
+    registration that holds; registering again renews it."""
+    last = changes.where(F.col(kind).isin("register", "unregister")).groupBy(worker).agg(F.max_by(F.struct(F.col(kind).alias("kind"), F.col(order).alias("o")), order).alias("l"))
+    return last.where("l.kind = 'register'").select(worker, F.col("l.o").alias("registered"))
 
 
 def response_average(samples: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Per key, the integer moving average: the first sample, then (3 * sample + 7 * average) div 10 in order. A timed
-    out task counts as a sample of its timeout. A key's samples must fit a row."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("long").alias("x"))))
-    fold = F.aggregate(ordered, F.lit(None).cast("long"), lambda acc, s: F.when(acc.isNull(), s["x"]).otherwise(F.expr("0L") + F.floor((3 * s["x"] + 7 * acc) / 10)))
-    return samples.groupBy(key).agg(fold.alias("avg_us"), F.count("*").alias("completed"))
+    """Per key, the integer moving average: the first sample, then (3 * sample + 7 * average) div 10 in order, and the
+    number of samples. A timed out task counts as a sample of its timeout."""
+
+    def step(acc: tuple | None, _: int, x: int | None) -> tuple[tuple, None]:
+        average, n = acc or (None, 0)
+        return (x if average is None or x is None else (3 * x + 7 * average) // 10, n + 1), None
+
+    return fold(samples.withColumn(value, F.col(value).cast("long")), key, order, value, step, "avg_us long, completed long", finish=lambda acc: acc)
 
 
 def counters(events: DataFrame, key: str) -> DataFrame:
@@ -61,8 +74,22 @@ def assigned(tasks: DataFrame, workers: DataFrame, attempt: str = "attempt") ->
     return first.select("seq", F.when(F.col("_alive"), F.col("worker")).alias("worker"), F.when(F.col("_alive").isNull(), "no worker").alias("error"))
 
 
-def percentiles(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Exact p50, p95, p99 and p99.9 of value."""
-    return rows.groupBy(key).agg(*[F.round(F.percentile(value, p), 3).alias(name) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99), ("p999", 0.999))], F.count("*").alias("n"))
+PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p999": 0.999}
 
 
+def percentiles(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Exact p50, p95, p99 and p99.9 of value (linear between neighbours): values are ranked in ranges of key and value,
+    so a key of any size is split over tasks, and two rows for each percentile are kept."""
+    ranked = position_in(rows.where(F.col(value).isNotNull()).select(key, value), key, value, name="rank", count="n")
+    rest = {name: (F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p) for name, p in PERCENTILES.items()}
+    low = {name: F.floor((F.col("n") - 1) * p) + 1 for name, p in PERCENTILES.items()}
+    near = [(F.col("rank") == low[name]) | (F.col("rank") == low[name] + 1) for name in PERCENTILES]
+    held = ranked.where(near[0] | near[1] | near[2] | near[3])
+    parts = [F.sum(F.when(F.col("rank") == low[name], F.col(value) * (1 - rest[name])).when(F.col("rank") == low[name] + 1, F.col(value) * rest[name])) for name in PERCENTILES]
+    return held.groupBy(key).agg(*[F.round(x, 3).alias(name) for x, name in zip(parts, PERCENTILES, strict=True)], F.max("n").alias("n"))
+
+
+def percentile_sketch(rows: DataFrame, key: str, value: str, accuracy: int = 10_000) -> DataFrame:
+    """p50, p95, p99 and p99.9 of value from mergeable sketches, one pass and one small row a task and key; a rank is off
+    by at most one part in accuracy of the key's rows."""
+    return rows.groupBy(key).agg(*[F.percentile_approx(value, p, accuracy).alias(name) for name, p in PERCENTILES.items()], F.count(value).alias("n"))

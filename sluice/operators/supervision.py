@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.operators.ordering import position_in
+
 
 def restart_set(children: DataFrame, failures: DataFrame) -> DataFrame:
     """Children (sup, idx) to restart for each failure (sup, idx, strategy): the failed one, all, or it and those after
-    it. Temporary children that had finished are restarted like the rest."""
+    it. Temporary children that had finished are restarted like the rest. A failed child that restarts alone meets itself
+    only."""
     f = failures.select("sup", F.col("idx").alias("failed"), "strategy")
-    hit = (F.col("strategy") == "one_for_all") | ((F.col("strategy") == "one_for_one") & (F.col("idx") == F.col("failed"))) | ((F.col("strategy") == "rest_for_one") & (F.col("idx") >= F.col("failed")))
-    return children.join(f, "sup").where(hit).select("sup", "failed", "strategy", "idx")
+    alone = f.where("strategy = 'one_for_one'").withColumn("idx", F.col("failed")).join(children.select("sup", "idx"), ["sup", "idx"])
+    hit = (F.col("strategy") == "one_for_all") | (F.col("strategy") == "rest_for_one") & (F.col("idx") >= F.col("failed"))
+    many = children.select("sup", "idx").join(f.where("strategy IN ('one_for_all', 'rest_for_one')"), "sup").where(hit)
+    return alone.select("sup", "failed", "strategy", "idx").unionByName(many.select("sup", "failed", "strategy", "idx"))
 
 
 def restart_intensity(restarts: DataFrame, key: str, ts: str, window: str, most: int) -> DataFrame:
@@ -32,5 +37,6 @@ def lifecycle(events: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def stop_order(children: DataFrame, sup: str, idx: str) -> DataFrame:
-    """Children with their place in the shutdown, last started first."""
-    return children.withColumn("stop_at", F.row_number().over(Window.partitionBy(sup).orderBy(F.desc(idx))).cast("long"))
+    """Children with their place in the shutdown, last started first. A supervisor with many children is split over
+    tasks."""
+    return position_in(children, sup, F.desc(idx), name="stop_at", count="children").drop("children")

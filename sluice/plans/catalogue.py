@@ -172,7 +172,7 @@ def registry_export(spark, sf):
     return registry.export(e.where("event_type = 'signup'"), dead).select("op", "name", "tag", "pid")
 
 
-@query("SELECT count(*) AS names FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND event_id % 50 = 0) a WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND event_id % 50 = 0 AND value > 30)")
+@query("SELECT count(*) AS names FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup') a WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 30)")
 def unregistered_names(spark, sf):
     e = read(spark, sf, "events").where("event_type = 'signup'").withColumn("name", F.col("user_id"))
     return registry.unregistered_names(e, e.where("value > 30"))
@@ -201,10 +201,18 @@ def group_failed_leave(spark, sf):
     return groups.failed_leaves(members(spark, sf, "view"), members(spark, sf, "error")).groupBy("grp", "pid").agg(F.count("*").alias("failed"))
 
 
-@query("SELECT DISTINCT user_id % 25 AS grp, event_id % 4 AS pid FROM events WHERE event_type = 'click' EXCEPT SELECT user_id % 25, event_id % 4 FROM events WHERE event_type = 'purchase' AND value > 80")
+@query("SELECT user_id AS one, event_id % 11 AS other FROM events WHERE event_type IN ('click', 'view') EXCEPT SELECT user_id, event_id % 11 FROM events WHERE event_type = 'purchase'")
 def link_sets(spark, sf):
-    gone = read(spark, sf, "events").where("event_type = 'purchase' AND value > 80").select((F.col("user_id") % 25).alias("grp"), (F.col("event_id") % 4).alias("pid"))
-    return groups.unlink(groups.link(members(spark, sf, "click").limit(0), members(spark, sf, "click")), gone)
+    def pairs(kind):
+        return read(spark, sf, "events").where(F.col("event_type") == kind).select(F.col("user_id").alias("one"), (F.col("event_id") % 11).alias("other"))
+
+    return groups.unlink(groups.link(pairs("click"), pairs("view")), pairs("purchase"))
+
+
+@query("SELECT grp, count(*) AS members FROM (SELECT user_id % 25 AS grp, event_id % 4 AS pid FROM events WHERE event_type = 'view') WHERE pid NOT IN (1, 3) GROUP BY grp")
+def remove_processes(spark, sf):
+    gone = read(spark, sf, "events").where("event_id % 2 = 1").select((F.col("event_id") % 4).alias("pid"))
+    return groups.member_counts(groups.remove_processes(members(spark, sf, "view"), gone, "pid"), "grp")
 
 
 @query("SELECT n_name, s_suppkey FROM nation JOIN supplier ON n_nationkey = s_nationkey WHERE n_regionkey = 2")
@@ -409,7 +417,7 @@ def random_alive_member(spark, sf):
 
 @query("""
     SELECT c.event_id, min(r.ts) FILTER (r.ts >= c.ts AND r.ts <= c.ts + INTERVAL 1 DAY) AS reply_at, min(r.ts) FILTER (r.ts >= c.ts AND r.ts <= c.ts + INTERVAL 1 DAY) IS NULL AS timed_out
-    FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click' AND event_id % 4 = 0) c LEFT JOIN (SELECT user_id, ts FROM events WHERE event_type = 'purchase') r ON c.user_id = r.user_id GROUP BY c.event_id""")
+    FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click') c LEFT JOIN (SELECT user_id, ts FROM events WHERE event_type = 'purchase') r ON c.user_id = r.user_id GROUP BY c.event_id""")
 def reply_timeout(spark, sf):
     e = read(spark, sf, "events")
     calls = e.where("event_type = 'click'").select("event_id", "user_id", "ts")
@@ -494,7 +502,10 @@ def reask_points(spark, sf):
     return dispatch.reask_points(e, "user_id", "event_id", "size", 12)
 
 
-@query()
+FRAME_BYTES = "unhex('0101' || lpad(hex(event_id), 16, '0') || lpad(hex(octet_length(encode(event_type))), 8, '0') || lpad(hex(octet_length(encode(props))), 8, '0') || hex(encode(event_type)) || hex(encode(props)))"
+
+
+@query(f"SELECT event_id, sha256({FRAME_BYTES}) AS fingerprint, 'send' AS kind, event_id AS request, event_type AS header, props AS payload FROM events")
 def frame_roundtrip(spark, sf):
     e = read(spark, sf, "events")
     data = values.frame(F.lit(1), F.lit(1), F.col("event_id"), F.col("event_type").cast("binary"), F.col("props").cast("binary"))
@@ -525,3 +536,123 @@ def task_retry(spark, sf):
     tasks = read(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), F.array(F.col("o_custkey"), F.col("o_custkey") + 1).alias("tries"))
     workers = read(spark, sf, "customer").select(F.col("c_custkey").alias("worker"), (F.col("c_custkey") % 10 != 3).alias("alive"))
     return scheduling.assigned(tasks, workers)
+
+
+@query(f"WITH w AS (SELECT name, arg_max(pid, row(timestamp, node_id, tag)) AS pid FROM ({ENTRIES}) GROUP BY name) SELECT event_id, pid, CASE WHEN pid IS NULL THEN 'unknown name' END AS error FROM events LEFT JOIN w ON w.name = 'svc' || (event_id % 25)")
+def send_named(spark, sf):
+    sent = read(spark, sf, "events").select("event_id", F.concat(F.lit("svc"), (F.col("event_id") % 25).cast("string")).alias("name"))
+    return routing.send_named(sent, registry.winners(entries(spark, sf)).select("name", "pid")).select("event_id", "pid", "error")
+
+
+@query("""
+    WITH RECURSIVE need(app, dep) AS (VALUES ('left', 'base'), ('right', 'base'), ('top', 'left'), ('top', 'right'), ('web', 'top'), ('web', 'log')),
+    app(a) AS (VALUES ('base'), ('left'), ('right'), ('top'), ('web'), ('log')), walk(app, depth) AS (SELECT a, 0 FROM app UNION ALL SELECT n.app, w.depth + 1 FROM walk w JOIN need n ON n.dep = w.app)
+    SELECT app, CAST(-max(depth) AS BIGINT) AS rank FROM walk GROUP BY app""")
+def app_stop_order(spark, sf):
+    return apps.stop_order(start_order(spark, sf))
+
+
+def part_env(spark, sf):
+    env = F.when(F.col("p_size") % 3 == 0, F.create_map(F.lit("brand"), "p_brand", F.lit("type"), "p_type")).otherwise(F.create_map(F.lit("size"), F.col("p_size").cast("string")))
+    return read(spark, sf, "part").select(F.col("p_partkey").alias("app"), env.alias("env"))
+
+
+@query("SELECT p_partkey AS app, CASE WHEN p_size % 3 = 0 THEN p_brand END AS value, CASE WHEN p_size % 3 <> 0 THEN 'missing' END AS error FROM part")
+def app_env_fetch(spark, sf):
+    return apps.fetched(part_env(spark, sf), "app", "brand")
+
+
+@query("""
+    SELECT p_partkey AS app, 'brand' AS key, 'Other' AS value FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'brand', p_brand FROM part WHERE p_partkey % 2 = 1 AND p_size % 3 = 0
+    UNION ALL SELECT p_partkey, 'type', p_type FROM part WHERE p_size % 3 = 0 UNION ALL SELECT p_partkey, 'size', CAST(p_size AS VARCHAR) FROM part WHERE p_size % 3 <> 0 AND p_partkey % 2 = 1""")
+def app_env_changes(spark, sf):
+    """Put a brand twice and delete the size of every second part, then list all settings."""
+    rows = read(spark, sf, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("app"))
+    changes = F.inline(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(k).alias("key"), F.lit(v).alias("value")) for i, (k, v) in enumerate([("brand", "First"), ("size", None), ("brand", "Other")])]))
+    return apps.all_settings(apps.put(part_env(spark, sf), "app", rows.select("app", changes)), "app")
+
+
+CHANGE = "CASE event_type WHEN 'signup' THEN 'register' WHEN 'view' THEN 'register' WHEN 'error' THEN 'unregister' END"
+
+
+@query(f"SELECT user_id, arg_max(event_id, event_id) AS registered, count(*) OVER () AS workers FROM (SELECT user_id, arg_max({CHANGE}, event_id) AS kind, max(event_id) AS event_id FROM events WHERE event_type IN ('signup', 'view', 'error') GROUP BY user_id) WHERE kind = 'register' GROUP BY user_id")
+def worker_registry(spark, sf):
+    """The list of registered workers, with their number."""
+    listed = scheduling.registered(read(spark, sf, "events").withColumn("kind", F.expr(CHANGE)), "user_id", "event_id", "kind")
+    return listed.withColumn("workers", listed.agg(F.count("*")).scalar())
+
+
+@query(f"SELECT count(*) FILTER (state = 'alive') AS alive FROM ({LAST})")
+def alive_count(spark, sf):
+    return membership.alive_count(last_state(spark, sf))
+
+
+@query("SELECT count(*) AS processes FROM customer WHERE c_custkey % 10 <> 3")
+def process_count(spark, sf):
+    return routing.process_count(processes(spark, sf))
+
+
+@query(f"WITH s AS (SELECT tag, demand, coalesce(sum(demand) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM {CONSUMERS_SQL}), e AS (SELECT count(*) AS n FROM events WHERE event_type = 'error') SELECT CAST(tag AS BIGINT) AS tag, CAST(demand - least(demand, greatest(n - lo, 0)) AS BIGINT) AS pending FROM s, e")
+def pending_demand(spark, sf):
+    asked = consumers(spark)
+    dealt = dispatch.by_demand(read(spark, sf, "events").where("event_type = 'error'").select("event_id"), asked, "event_id")
+    return dispatch.pending_demand(asked, dealt)
+
+
+@query("SELECT count(*) AS kept FROM events WHERE event_type = 'error'")
+def broadcast_leftover(spark, sf):
+    """No consumer has demand, so the producer keeps all."""
+    return dispatch.kept_by_producer(read(spark, sf, "events").where("event_type = 'error'"), consumers(spark).withColumn("demand", F.lit(0))).agg(F.count("*").alias("kept"))
+
+
+@query(SQL["failure_detector"].replace("SELECT user_id, ts AS suspected_at, ts + INTERVAL 8 HOURS AS dead_at", "SELECT user_id, ts + INTERVAL 8 HOURS AS dead_at, ts + INTERVAL 8 HOURS + INTERVAL 30 HOURS AS removed_at") + " AND ts + INTERVAL 38 HOURS <= TIMESTAMP '2024-01-20 00:00:00'")
+def dead_removal(spark, sf):
+    return membership.removals(failure_detector(spark, sf), "2024-01-20 00:00:00", "30 HOURS").select("user_id", "dead_at", "removed_at")
+
+
+AGENT = "CASE event_type WHEN 'view' THEN 'get' WHEN 'click' THEN 'update' WHEN 'purchase' THEN 'get_and_update' WHEN 'signup' THEN 'cast' ELSE CASE WHEN event_id % 7 = 0 THEN 'stop' ELSE 'get' END END"
+
+
+@query(f"""
+    WITH a AS (SELECT event_id, user_id, {AGENT} AS kind, CAST(round(value * 100) AS BIGINT) AS cents FROM events),
+    s AS (SELECT *, coalesce(bool_or(kind = 'stop') OVER w, FALSE) AS over FROM a WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    h AS (SELECT *, coalesce(sum(CASE WHEN NOT over AND kind IN ('update', 'cast', 'get_and_update') THEN cents END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM s)
+    SELECT event_id, CASE WHEN NOT over AND kind IN ('get', 'get_and_update') THEN CAST(held AS BIGINT) END AS answer, CASE WHEN over THEN 'stopped' END AS error FROM h""")
+def agent_calls(spark, sf):
+    e = read(spark, sf, "events").select("event_id", "user_id", F.expr(AGENT).alias("kind"), F.round(F.col("value") * 100).cast("long").alias("cents"))
+    return machines.agent_calls(e, "user_id", "event_id", "kind", "cents").select("event_id", "answer", "error")
+
+
+@query(f"""
+    WITH s AS ({SQL["suspend_resume"].replace("SELECT *, arg_max(event_type", "SELECT events.*, arg_max(event_type").replace("SELECT event_id, CASE WHEN", "SELECT event_id, user_id, event_type, CAST(round(value * 100) AS BIGINT) AS cents, CASE WHEN")}),
+    p AS (SELECT *, CASE WHEN event_type = 'view' THEN event_id ELSE handled_at END AS place FROM s)
+    SELECT event_id, CAST(state AS BIGINT) AS state FROM (SELECT *, coalesce(sum(CASE WHEN event_type <> 'view' THEN cents END) OVER (PARTITION BY user_id ORDER BY place, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS state FROM p WHERE place IS NOT NULL) WHERE event_type = 'view'""")
+def inspect_suspended(spark, sf):
+    e = read(spark, sf, "events").withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    return machines.inspected(e, "user_id", "event_id", "event_type", "cents", "error", "signup", "view").select("event_id", "state")
+
+
+@query("SELECT event_id, CAST(epoch_us(ts) // 1000 AS BIGINT) AS sent_ms, CASE WHEN event_id % 300 = 0 THEN '0.250ms' WHEN event_id % 300 < 100 THEN (event_id % 300) || '.25ms' ELSE (event_id % 300) || 'ms' END AS took, coalesce(json_extract_string(props, '$.missing'), 'none') AS label FROM events")
+def clock_and_text(spark, sf):
+    e = read(spark, sf, "events")
+    return e.select("event_id", values.clock_ms(F.col("ts")).alias("sent_ms"), values.ms_text(F.col("event_id") % 300 + F.lit(0.25)).alias("took"), values.variant_text(F.col("props"), "$.missing", "none").alias("label"))
+
+
+@query("SELECT event_id, CAST(0 AS BIGINT) AS sender_process, CAST(7 AS BIGINT) AS sender_node FROM events WHERE event_type = 'signup'")
+def external_injection(spark, sf):
+    sent = feeds.injected(read(spark, sf, "events").where("event_type = 'signup'"), 7)
+    return sent.select("event_id", F.col("sender.local_id").alias("sender_process"), F.col("sender.node_id").alias("sender_node"))
+
+
+@query("SELECT event_id, route, CASE WHEN route = 'none' THEN 'no route' END AS error FROM (SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'local' WHEN user_id % 3 = 1 THEN 'remote' ELSE 'none' END AS route FROM events)")
+def router_plugin(spark, sf):
+    router = lambda m: m.withColumn("route", F.when(F.col("user_id") % 3 == 0, "local").when(F.col("user_id") % 3 == 1, "remote").otherwise("none"))
+    keep = lambda m: m
+    return routing.routed(read(spark, sf, "events"), router, {"local": keep, "remote": keep}).select("event_id", "route", "error")
+
+
+@query(SQL["demand_dispatch"] + " WHERE s.tag IS NOT NULL")
+def dispatcher_plugin(spark, sf):
+    events = read(spark, sf, "events").where("event_type <> 'error'").select("event_id")
+    given, _ = dispatch.dispatched(events, consumers(spark), lambda e, c: dispatch.by_demand(e, c, "event_id"))
+    return given.select("event_id", "pos", "tag")
