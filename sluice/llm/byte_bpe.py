@@ -6,7 +6,7 @@ leftmost pair of least rank until no pair has one. A vocabulary has up to 2**19
 come from a literal map, dealt into small buckets so that a look-up doesn't scan 50,000 entries; it reaches the tasks as
 the value of a scalar subquery.
 
-All words of the corpus are counted and the commonest distinct words are folded once, on the executors; their ids make a
+Of every word of the corpus the texts that hold it are counted, and the commonest distinct words are folded once, on the executors; their ids make a
 second literal in two forms: ``FREQUENT`` words in maps, which give a word's ids without a copy, and the next up to
 ``LISTED`` words as text, half the size. Both are fixed numbers, so what the driver passes on is bounded. Of the rest each
 occurrence is folded where it stands: a join would move every text and its rare words through a shuffle of more than
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm.store import released, written
 
-FREQUENT, LISTED, PAIR_BUCKETS, WORD_BUCKETS, LIST_BUCKETS, INNER_BITS, LONG = 1 << 17, 1 << 20, 1 << 16, 1 << 16, 1 << 18, 20, 48
+FREQUENT, LISTED, PAIR_BUCKETS, WORD_BUCKETS, LIST_BUCKETS, INNER_BITS, LONG = 1 << 17, 1 << 19, 1 << 16, 1 << 16, 1 << 17, 20, 48
 TABLES = ["bytes", "merges", "inner"]
 #: Signs that open a word and its ids in a bucket's list; words that hold one of them are not listed.
 WORD_SIGN, IDS_SIGN = "\x01", "\x02"
@@ -140,20 +140,21 @@ def folded(word: Column, single: Column, merges: Column, inner: Column) -> Colum
         start = F.transform(tokens, lambda x, i: ranked(x, part(F.get(tokens, i + 1), IDS)))
         return F.transform(F.aggregate(F.slice(tokens, 2, F.size(tokens)), start, step), lambda x: part(x, IDS).cast("int"))
 
-    def at(raw: Column, i: Column) -> Column:
-        return F.conv(F.hex(F.substring(raw, i + 1, F.lit(1))), 16, 10).cast("int")
+    def values(raw: Column) -> Column:
+        """The bytes of raw as numbers: Latin-1 has a character for each byte."""
+        return F.transform(F.split(F.decode(raw, "ISO-8859-1"), ""), F.ascii)
 
     def of_bytes(raw: Column) -> Column:
-        return bound(F.transform(F.sequence(F.lit(0), F.length(raw) - 1), lambda i: F.shiftleft(i.cast("long"), ID_BITS).bitwiseOR(F.get(single, at(raw, i)))), merged_all)
+        return bound(F.transform(values(raw), lambda v, i: F.shiftleft(i.cast("long"), ID_BITS).bitwiseOR(F.get(single, v))), merged_all)
 
-    def pieces(raw: Column, values: Column) -> Column:
+    def pieces(raw: Column, known: Column) -> Column:
         """raw, cut where no token can span."""
 
         def spanned(i: Column, size: int) -> Column:
             """Whether the size bytes from byte i on stand in a token; false if they pass the word's ends."""
             key = F.lit(1).cast("long")
             for k in range(size):
-                key = F.shiftleft(key, 8) + F.when(i + k >= 0, F.get(values, i + k))
+                key = F.shiftleft(key, 8) + F.when(i + k >= 0, F.get(known, i + k))
             bit = F.pmod(key * MUL, F.lit(1 << INNER_BITS)).cast("int")
             return F.coalesce(F.getbit(F.get(inner, F.shiftright(bit, 6)), bit.bitwiseAND(F.lit(63))) == 1, F.lit(False))
 
@@ -161,8 +162,7 @@ def folded(word: Column, single: Column, merges: Column, inner: Column) -> Colum
         return bound(places, lambda p: F.zip_with(F.concat(F.array(F.lit(0)), p), F.concat(p, F.array(F.length(raw))), lambda a, b: F.substring(raw, a + 1, b - a)))
 
     def of_long(raw: Column) -> Column:
-        values = F.transform(F.sequence(F.lit(0), F.length(raw) - 1), lambda i: at(raw, i))
-        return F.flatten(F.transform(bound(values, lambda v: pieces(raw, v)), of_bytes))
+        return F.flatten(F.transform(bound(values(raw), lambda v: pieces(raw, v)), of_bytes))
 
     return bound(word.cast("binary"), lambda raw: F.when(F.length(raw) > LONG, of_long(raw)).otherwise(of_bytes(raw)))
 
@@ -196,7 +196,7 @@ def common_words(docs: DataFrame, vocabulary: Vocabulary, pattern: str, frequent
     """The ids of the commonest words by bucket of their hash, as scalar subqueries: maps (of at most frequent words) and
     lists (texts, of the next ones up to listed words)."""
     spark = docs.sparkSession
-    counts = written(docs.select(F.explode(words(F.col("text"), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
+    counts = written(docs.select(F.explode(F.array_distinct(words(F.col("text"), pattern))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
     least, low = thresholds(counts, [frequent, listed])
     top = counts.where(F.col("n") >= min(least, low)).select("word", "n", literal(spark, vocabulary.tables).alias("_t"))
     known = written(top.select("word", "n", bound(F.col("_t"), lambda t: fields_bound(t, TABLES, lambda *tables: folded(F.col("word"), *tables))).alias("ids")), "word-ids")
@@ -257,5 +257,5 @@ def report(docs: DataFrame, vocabulary: Vocabulary, pattern: str, frequent: int
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tokens = encode(slim, vocabulary, pattern, frequent, listed).select("doc_id", "ids")
     return decode(tokens, vocabulary).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.btrim(F.to_json("ids"), F.lit("[]")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,17 +45,6 @@ def released(spark: SparkSession, *tables: DataFrame) -> None:
             shared.delete(spark, path)
 
 
-def free_names(taken: Iterable[str], *names: str) -> list[str]:
-    """The names, each with as many underscores before it as make it unlike all of taken (names don't differ by case)."""
-    out, used = [], {t.lower() for t in taken}
-    for name in names:
-        while name.lower() in used:
-            name = f"_{name}"
-        used.add(name.lower())
-        out.append(name)
-    return out
-
-
 def joined_by_key(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """rows with the columns of facts (one row a key; ``count`` says how many rows have the key), as a left join. Keys of
     more than one part in HOT_KEYS of total rows are at most HOT_KEYS, so their facts are broadcast and such a key's rows

@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from sluice.llm.fm_index import FmIndex, intervals, matching
 from sluice.llm.grid import NOT_SPACE, Grid, grids, sliced
-from sluice.llm.store import bucketed, free_names, joined_by_key, released, written
+from sluice.functions.names import free_names
+from sluice.llm.store import bucketed, joined_by_key, released, written
 
 SPAN, SHINGLE, SHARD, HOT = 13, 5, 1_500_000, 20_000
 FOUND = "array<struct<start:int,end:int,least:bigint>>"

@@ -109,4 +109,6 @@ def test_hot_keys_join_their_facts(spark, monkeypatch):
     facts = spark.createDataFrame([("hot", 1, 70)] + [(f"k{i}", 10 + i, 1) for i in range(15)], "k string, x long, n long")
     got = {r.v: (r.k, r.x) for r in store.joined_by_key(rows, facts, "k", "n", 92).collect()}
     assert got == {i: ("hot", 1) for i in range(70)} | {1000: (None, None), 1001: (None, None)} | {100 + i: (f"k{i}", 10 + i if i < 15 else None) for i in range(20)}
-    assert store.free_names(["Text", "_text"], "text", "other") == ["__text", "other"]
+    from sluice.functions.names import free_names
+
+    assert free_names(["Text", "_text"], "text", "other") == ["__text", "other"]
