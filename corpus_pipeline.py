@@ -12,8 +12,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.functions.names import free_names
 from sluice.llm import byte_bpe, contamination, language, near_dup, secret_scan
-from sluice.llm.store import written
+from sluice.llm.store import released, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +23,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language.fit(docs.where(~language.held_out()))
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = language.label_languages(docs, model).where("_lang <> 'und'")
-    return found.withColumn("lang", F.coalesce("lang", "_lang")).select(*docs.columns)
+    names = free_names(docs.columns, "found", "score", "spans")
+    found = language.label_languages(docs, model, names=names).where(F.col(names[0]) != "und")
+    return found.withColumn("lang", F.coalesce("lang", names[0])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            released(spark, before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
