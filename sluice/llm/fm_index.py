@@ -121,5 +121,5 @@ def intervals(length: np.ndarray, least: np.ndarray, piece: np.ndarray, place: n
     new = np.ones(len(on), bool)
     new[1:] = (np.diff(on) > 1) | (np.diff(piece[on]) != 0) | (np.diff(least[on]) != 0)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(on)) - 1
+    last = np.append(first[1:], len(on))[: len(first)] - 1
     return piece[on[first]], place[on[first]], place[on[last]] + span, least[on[first]]

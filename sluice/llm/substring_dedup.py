@@ -157,19 +157,22 @@ def numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def searched(pieces: DataFrame, shards: int) -> DataFrame:
-    """(cell, key, found) of each distinct segment (cell, segment, owner): found are its intervals (first word, end and
-    least document) of matching length SPAN or more within the shard; key is a digest of the segment."""
+    """(cell, key, found) of each distinct segment (cell, segment, owner, several: whether more than one document has it):
+    found are its intervals (first word, end and least document) of matching length SPAN or more within the shard, which
+    for a segment of several documents is all of it; key is a digest of the segment."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells: list[np.ndarray] = []
         keys: list[bytes] = []
         texts: list[bytes] = []
         owners: list[np.ndarray] = []
+        copied: list[np.ndarray] = []
         for batch in batches:
             cells.append(batch.column("cell").to_numpy())
             keys += batch.column("key").to_pylist()
             texts += batch.column("segment").to_pylist()
             owners.append(batch.column("owner").to_numpy())
+            copied.append(batch.column("several").to_numpy(zero_copy_only=False))
         if not texts:
             return
         cell, owner = np.concatenate(cells), np.concatenate(owners)
@@ -180,11 +183,13 @@ def searched(pieces: DataFrame, shards: int) -> DataFrame:
         which = np.repeat(np.arange(len(size)), count)
         place = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
         length, least = np.zeros(len(which), np.int64), owner[which]
+        copies = np.concatenate(copied)
         for at in range(0, len(which), 1 << 18):
             part = slice(at, at + (1 << 18))
             length[part], row = matching(index, text, begin[which[part]] + SPAN - 1 + place[part], SPAN)
             hit = np.flatnonzero(row >= 0)
             least[at + hit] = index.least(row[hit])
+        length[copies[which]] = SPAN
         piece, start, end, who = intervals(length, least, which, place, SPAN)
         edges = np.searchsorted(piece, np.arange(len(size) + 1)).astype(np.int32)
         for at in range(0, len(texts), 20_000):
@@ -194,7 +199,7 @@ def searched(pieces: DataFrame, shards: int) -> DataFrame:
             found = pa.ListArray.from_arrays(pa.array(edges[at : stop + 1] - edges[at]), rows)
             yield pa.RecordBatch.from_arrays([pa.array(cell[at:stop]), pa.array(keys[at:stop], pa.binary()), found], names=["cell", "key", "found"])
 
-    keyed = pieces.select("cell", digest_of("segment").alias("key"), "segment", "owner")
+    keyed = pieces.select("cell", digest_of("segment").alias("key"), "segment", "owner", "several")
     return keyed.repartition(shards, "cell").mapInArrow(search, f"cell long, key binary, found {FOUND}")
 
 
@@ -242,7 +247,7 @@ def repeats(docs: DataFrame, result: list[F.Column]) -> tuple[DataFrame, DataFra
     released(spark, rows, standing)
     cuts = written(segments(texts, shared), "segments")
     released(spark, shared)
-    pieces = cuts.groupBy("cell", "segment").agg(F.min("doc_id").alias("owner"))
+    pieces = cuts.groupBy("cell", "segment").agg(F.min("doc_id").alias("owner"), (F.min("doc_id") < F.max("doc_id")).alias("several"))
     size = cuts.agg(F.sum(F.length("segment"))).first()[0] or 0
     known = written(searched(pieces, max(1, -(-int(size) // (6 * SHARD)))).where("size(found) > 0"), "found")
     earlier = F.filter("found", lambda i: i["least"] < F.col("doc_id"))

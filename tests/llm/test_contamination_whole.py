@@ -1,5 +1,7 @@
 """Items without id and items larger than a block."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -41,3 +43,28 @@ def test_words_are_counted_whatever_the_blocks(spark):
     d, b = frames(spark, [(1, A)])
     for items, block_bytes in ((b, 1), (b, 1 << 20), (b.limit(0), 1)):
         assert sum(r.n_words for r in contamination.find_contamination(d, items, block_bytes=block_bytes).collect()) == 42 + 42 + 80 + 2
+
+
+def test_many_blocks_are_held_one_at_a_time(spark, monkeypatch):
+    """Broadcasts that are alive at once, over a benchmark of many blocks, and columns named like the results."""
+    from sluice.llm import contamination as C
+
+    rng = random.Random(7)
+    items = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(12))) for i in range(60)]
+    docs = [(d, f"start {items[d % 60][1]} end" if d % 3 else "clean text of no item here", 5, "x", 7) for d in range(90)]
+    alive, most, real = set(), [0], spark.sparkContext.broadcast
+
+    def counted(value):
+        held = real(value)
+        alive.add(id(held))
+        most[0] = max(most[0], len(alive))
+        destroy = held.destroy
+        monkeypatch.setattr(held, "destroy", lambda *a: (alive.discard(id(held)), destroy(*a)), raising=False)
+        return held
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", counted)
+    d = spark.createDataFrame(docs, "doc_id long, text string, n_words int, spans string, items int")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    kept = C.decontaminate(d, b, n=10, block_bytes=600).collect()
+    assert most[0] == 1 and sorted(r.doc_id for r in kept) == [x[0] for x in docs if x[0] % 3 == 0]
+    assert kept[0].asDict().keys() == {"doc_id", "text", "n_words", "spans", "items"} and {(r.n_words, r.spans, r.items) for r in kept} == {(5, "x", 7)}

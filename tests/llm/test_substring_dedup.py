@@ -82,3 +82,47 @@ def test_backward_search_counts_every_pattern():
     for e, n in zip(range(20, 400), length.tolist(), strict=True):
         seen = lambda m, e=e: sum(plain[k : k + m] == plain[e - m + 1 : e + 1] for k in range(len(plain) - m + 1)) > 1
         assert (n == 0 or seen(n)) and (n == 13 or not seen(n + 1))
+
+
+def test_words_that_collide_modulo_powers_of_two(spark):
+    """A Thue-Morse word and its complement have one hash modulo 2**64 in every base; their windows differ."""
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rest = [f"w{i}" for i in range(12)]
+    docs = [(1, " ".join([word, *rest])), (2, " ".join([other, *rest])), (3, " ".join([*rest, other])), (4, " ".join([*rest, other]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(tuple(r) for r in S.report(df).collect()) == brute(docs) and brute(docs)[1][2] == 0
+    from sluice.llm import near_dup
+
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame([(1, word), (2, other), (3, word)], "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_intervals_are_runs_of_windows_of_one_owner():
+    length = np.array([13, 13, 12, 13, 13, 13, 13, 13])
+    least = np.array([4, 4, 4, 4, 5, 5, 5, 5])
+    piece = np.array([0, 0, 0, 0, 0, 0, 1, 1])
+    place = np.array([0, 1, 2, 3, 4, 5, 0, 1])
+    got = [x.tolist() for x in fm_index.intervals(length, least, piece, place, 13)]
+    assert list(zip(*got, strict=True)) == [(0, 0, 14, 4), (0, 3, 16, 4), (0, 4, 18, 5), (1, 0, 14, 5)]
+
+
+def test_least_owner_of_every_repeated_window():
+    rng = np.random.default_rng(5)
+    text = np.append(np.concatenate([np.append(rng.integers(1, 3, 60), 0) for _ in range(8)]), 0)
+    owner = np.repeat(np.arange(len(text)) // 61, 1)
+    index = fm_index.FmIndex(text, owner, 13)
+    plain = text.tolist()
+    ends = np.array([e for e in range(12, len(text)) if 0 not in plain[e - 12 : e + 1]])
+    length, row = fm_index.matching(index, text, ends, 13)
+    for e, n, r in zip(ends.tolist(), length.tolist(), row.tolist(), strict=True):
+        starts = [k for k in range(len(plain) - 12) if plain[k : k + 13] == plain[e - 12 : e + 1]]
+        assert (len(starts) > 1) == (n == 13) and (n < 13 or index.least(np.array([r]))[0] == min(owner[k] for k in starts))
+
+
+def test_clashing_columns(spark):
+    a = " ".join(f"a{i}" for i in range(14))
+    df = spark.createDataFrame([(1, a, 1, 2, 3, 4), (2, f"x {a}", 5, 6, 7, 8)], "doc_id long, text string, version int, copy int, left int, found int")
+    assert sorted(tuple(r) for r in S.deduplicate(df).collect()) == [(1, a, 1, 2, 3, 4), (2, "x", 5, 6, 7, 8)]
