@@ -16,7 +16,7 @@ doc_id order; segments are rows of a Parquet table in the shared folder, written
 id comes from the sums of the shards before it, a row for each shard. Nothing but those sums meets in one place.
 
 Null and empty texts are the end id alone; a null doc_id sorts first; rows of one doc_id stay next to each other, by
-the first 64 characters of their text, then by its hash; a text of any length is encoded whole and is a segment of its own where it is long; an empty table
+text (in shards that split an id, by its first 64 characters); a text of any length is encoded whole and is a segment of its own where it is long; an empty table
 gives an empty file; further columns are ignored, whatever their names.
 """
 
@@ -294,7 +294,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_json: str, end_id: in
 
     order = ("doc_id", "begins", "hash", "row")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = slim.select("*", F.substring("text", 1, 64).alias("begins"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row")).repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = slim.select("*", F.substring("text", 1, 64).alias("begins"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row")).repartitionByRange(*order).sortWithinPartitions("doc_id", "text", "row")
     ordered.select("doc_id", "text").mapInArrow(segments, "shard long, segment long, before long, n_ids long, data binary").write.parquet(path)
 
 

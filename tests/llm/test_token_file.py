@@ -11,7 +11,6 @@ from sluice.llm import token_file as T
 
 JSON = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
 WHOLE = Tokenizer.from_str(JSON)
-WHOLE.encode_special_tokens = True
 
 
 def crc(ids):
