@@ -10,13 +10,13 @@ the differences' low bits at that width, and an exception list (place, high bits
     starts     u64 for each block, from the first block's first byte
     documents  doc_id i64, a flag u8 for a null id, n_ids u32 each
 
-Documents are dealt by ranges of doc_id (and, within one, of how the text begins, its hash and a row number, so that rows
-without id, or of one id, are split over shards) and sorted, so shards (partitions) and the segments in them are in ascending
+Documents are dealt by ranges of doc_id (and, within one, of a row number, so that rows without id, or of one id, are split
+over shards) and sorted, so shards (partitions) and the segments in them are in ascending
 doc_id order; segments are rows of a Parquet table in the shared folder, written once. The position of a shard's first
 id comes from the sums of the shards before it, a row for each shard. Nothing but those sums meets in one place.
 
 Null and empty texts are the end id alone; a null doc_id sorts first; rows of one doc_id stay next to each other, by
-text (in shards that split an id, by its first 64 characters); a text of any length is encoded whole and is a segment of its own where it is long; an empty table
+text (an id that is split over shards, by its rows' places in the table first); a text of any length is encoded whole and is a segment of its own where it is long; an empty table
 gives an empty file; further columns are ignored, whatever their names.
 """
 
@@ -292,9 +292,8 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_json: str, end_id: in
         if docs_in:
             yield closed()
 
-    order = ("doc_id", "begins", "hash", "row")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = slim.select("*", F.substring("text", 1, 64).alias("begins"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row")).repartitionByRange(*order).sortWithinPartitions("doc_id", "text", "row")
+    ordered = slim.withColumn("row", F.monotonically_increasing_id()).repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "text", "row")
     ordered.select("doc_id", "text").mapInArrow(segments, "shard long, segment long, before long, n_ids long, data binary").write.parquet(path)
 
 

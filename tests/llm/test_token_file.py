@@ -55,3 +55,19 @@ def test_query_matches_a_plain_loop(spark):
         start += len(ids)
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
     assert T.report(spark.createDataFrame([], "doc_id long, text string"), JSON).count() == 0
+
+
+def test_rows_without_id_are_split_over_shards(spark):
+    rows = [(None, f"text {i % 7}") for i in range(4000)] + [(i, "word") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = T.fresh_path(spark, "tokens")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        T.write_token_file(df, path, JSON)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r.n for r in spark.read.parquet(path).groupBy("shard").agg({"n_ids": "sum"}).toDF("shard", "n").collect()]
+    assert len(sizes) == 4 and max(sizes) < 0.5 * sum(sizes)
+    got = T.read_token_file(spark, path).orderBy("start").collect()
+    assert len(got) == len(rows) and [r.doc_id for r in got[4000:]] == list(range(40))
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
